@@ -1,0 +1,252 @@
+"""Packing token pieces into sequences of at most CAPACITY tokens: best fit, then swap-based local search.
+
+Documents are tokenised once; only (doc_id, copy, piece, length, crc) goes further. Pieces are dealt by a hash into
+groups of about GROUP. In each group the pieces, longest first, go to the fullest sequence that still holds them; then
+the local search takes the underfull sequences and exchanges one piece for one, two for one, or moves a piece whenever
+that raises the sum of squared fills, so that full ones get fuller and the emptiest run empty. Sequences that are still
+underfull give their pieces to a next round, which packs those of many groups together, until one group is left. Every
+group is bounded, whatever share of the rows a source or a length has.
+
+Ids are those of the library. Words met before come from a table in the worker; a text with special strings, or with
+characters beyond the ranges whose classes are certain, goes to the library whole.
+
+Defined results: a null text counts as empty; an empty text is one piece, its end id 0; repeated rows and repeated ids
+are documents of their own; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import re
+import zlib
+from bisect import bisect_left, insort
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._store import cut, table
+
+TOKENIZER = "word_bpe_49k.json"
+CAPACITY = 2048
+END = 0
+GROUP = 20_000
+FAN = 16
+ROUNDS = 4
+UNDERFULL = 0.995
+REMEMBER = 400_000
+MOST_STEPS = 8
+
+# Latin text: which characters are letters and numbers is the same in every version of Unicode.
+_LETTER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f"
+_NUMBER = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+_BLANK = "\t-\r \u0085\u00a0"
+_PLAIN = re.compile("[\t-\r -~\u00a0-\u012f\u0132-\u017f]*")
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_BLANK}{_LETTER}{_NUMBER}]+")
+
+
+class Encoder:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, text: str) -> np.ndarray:
+        if "<|" in text or not _PLAIN.fullmatch(text):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        words = _WORDS.findall(text.lower())
+        known = self.known
+        try:
+            return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+        except KeyError:
+            new = list({w for w in words if w not in known})
+        if len(known) > REMEMBER:
+            known.clear()
+            new = list(set(words))
+        known.update(zip(new, self._ids(new)))
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def default_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, copy (tells apart the pieces of equal rows' documents)."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ._text import chunks
+
+        e = encoder(path or default_path())
+        for b in batches:
+            text = b.column(1)
+            for i, j, _, _ in chunks(text):
+                row, piece, start, length, crc = [], [], [], [], []
+                for k, t in enumerate(text[i:j].to_pylist(), i):
+                    ids = np.append(e.encode(t or ""), np.array([END], "<u4")).astype("<u4")
+                    for p, s in enumerate(range(0, len(ids), capacity)):
+                        part = ids[s : s + capacity]
+                        row.append(k), piece.append(p), start.append(s), length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    return docs.select("doc_id", "text").mapInArrow(f, "doc_id long, piece int, start long, length long, ids_crc32 long")
+
+
+def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
+    """Bins of indexes: longest first, each into the fullest bin that still holds it."""
+    bins: list[list[int]] = []
+    room: list[list[int]] = [[] for _ in range(capacity + 1)]  # bins by the room that is left
+    rooms: list[int] = []  # those in use, ascending
+    for i in np.argsort(-lengths, kind="stable").tolist():
+        n = int(lengths[i])
+        at = bisect_left(rooms, n)
+        if at < len(rooms):
+            r = rooms[at]
+            b = room[r].pop()
+            if not room[r]:
+                rooms.pop(at)
+            bins[b].append(i)
+        else:
+            r, b = capacity, len(bins)
+            bins.append([i])
+        if not room[r - n]:
+            insort(rooms, r - n)
+        room[r - n].append(b)
+    return bins
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, underfull: float = UNDERFULL) -> list[list[int]]:
+    """Moves and exchanges between underfull bins, each of which raises the sum of squared fills.
+
+    For a fuller bin with room r and an emptier one, an exchange must bring the fuller one 1 to r tokens more: a move
+    brings a piece; one for one a longer piece for a shorter; two for one two pieces for one. Pieces of the emptiest bins are tried against the
+    others, found by length, so that the emptiest run empty."""
+    size = lengths.tolist()
+    low = int(capacity * underfull)
+    full = [b for b in bins if sum(size[i] for i in b) >= low]
+    open_ = [b for b in bins if sum(size[i] for i in b) < low]
+    fill = [sum(size[i] for i in b) for b in open_]
+    for _ in range(MOST_STEPS):
+        changed = False
+        order = sorted(range(len(open_)), key=fill.__getitem__)
+        by_length: dict[int, set[tuple[int, int]]] = {}
+        for b in order:
+            for i in open_[b]:
+                by_length.setdefault(size[i], set()).add((b, i))
+        rooms: dict[int, set[int]] = {}
+        for b in order:
+            rooms.setdefault(capacity - fill[b], set()).add(b)
+        room_list = sorted(rooms)
+        length_list = sorted(by_length)
+
+        def put(b: int, out: list[int], into: list[int]) -> None:
+            rooms[capacity - fill[b]].discard(b)
+            for i in out:
+                open_[b].remove(i)
+                by_length[size[i]].discard((b, i))
+            for i in into:
+                open_[b].append(i)
+                by_length[size[i]].add((b, i))
+            fill[b] += sum(size[i] for i in into) - sum(size[i] for i in out)
+            r = capacity - fill[b]
+            if r not in rooms:
+                rooms[r] = set()
+                insort(room_list, r)
+            rooms[r].add(b)
+
+        def step(b: int) -> bool:
+            mine = sorted(open_[b], key=size.__getitem__, reverse=True)
+            for i in mine:  # a move, to the fullest bin that holds it
+                at = bisect_left(room_list, size[i])
+                for r in room_list[at : at + 32]:
+                    t = next((t for t in rooms[r] if t != b and fill[t] + size[i] > fill[b]), None)
+                    if t is not None:
+                        put(b, [i], []), put(t, [], [i])
+                        return True
+            groups = [[i] for i in mine] + [[mine[x], mine[y]] for x in range(min(len(mine), 12)) for y in range(x + 1, min(len(mine), 12))]
+            for out in groups:  # one, or two, for a shorter one of a fuller bin
+                n = sum(size[i] for i in out)
+                at = bisect_left(length_list, n)
+                for m in length_list[max(0, at - 48) : at][::-1]:
+                    for t, j in list(by_length[m])[:16]:
+                        if t != b and fill[t] >= fill[b] - (n - m) and fill[t] + n - m <= capacity and fill[t] + n - m > fill[b]:
+                            put(b, out, []), put(t, [j], out), put(b, [], [j])
+                            return True
+            return False
+
+        for b in order:
+            for _ in range(64):
+                if not open_[b] or fill[b] >= low or not step(b):
+                    break
+                changed = True
+        if not changed:
+            break
+        open_, fill = [b for b in open_ if b], [f for b, f in zip(open_, fill) if b]
+    return full + [b for b in open_ if b]
+
+
+_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, grp long, sequence_id long, offset long, final boolean"
+
+
+def _pack_group(capacity: int, level: int, last: bool, groups: int):
+    def f(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        lengths = pdf["length"].to_numpy(np.int64)
+        bins = local_search(best_fit(lengths, capacity), lengths, capacity)
+        low, grp = int(capacity * UNDERFULL), int(pdf["grp"].iloc[0])
+        sequence, offset, final = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64), np.ones(len(pdf), bool)
+        for k, b in enumerate(bins):
+            n = lengths[b]
+            sequence[b] = (k * groups + grp) * (ROUNDS + 1) + level
+            offset[b] = np.cumsum(n) - n
+            final[b] = last or n.sum() >= low
+        pdf["sequence_id"], pdf["offset"], pdf["final"] = sequence, offset, final
+        return pdf
+
+    return f
+
+
+def assign(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """pieces_ with sequence_id and offset."""
+    x = cut(pieces_, "packing-pieces")
+    n = x.count()
+    groups = max(1, -(-n // GROUP))
+    names = [c.split()[0] for c in _SCHEMA.split(", ")]
+    empty = lambda d: d.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "final": F.lit(False)})
+    x = empty(x.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))).select(*names)
+    done, level = [], 0
+    while True:
+        last = groups == 1 or level == ROUNDS
+        packed = cut(x.groupBy("grp").applyInPandas(_pack_group(capacity, level, last, groups), _SCHEMA), f"packing-{level}")
+        done.append(packed.where("final"))
+        if last:
+            break
+        level, groups = level + 1, max(1, -(-groups // FAN))
+        x = packed.where("not final").withColumn("grp", F.expr(f"grp div {FAN}"))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.drop("grp", "final")
+
+
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every row of docs."""
+    return assign(pieces(docs, path, capacity), capacity).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op9(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))

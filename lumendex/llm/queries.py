@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import ann, mixing, packing, quality, sharding, tokencount
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op2_sharding": sharding.op2,
+    "op3_nearest_neighbours": ann.op3,
     "op8_mixing": mixing.op8,
+    "op9_packing": packing.op9,
+    "op10_token_counts": tokencount.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {}
