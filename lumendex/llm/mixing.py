@@ -34,7 +34,7 @@ MOST = 2.0
 GROUP = 10_000
 FAN = 64
 SEED = 17
-_WS = "' \\t\\n\\u000b\\f\\r'"
+_WS = "' \\t\\n\\u000b\\u000c\\r'"
 
 
 def sizes(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ MEASURES = {
     "dup_lines": ("(10000 * n_dup_lines) div n_lines", 5000, False),
     "repeats": ("(10000 * n_repeat_words) div n_words", 3500, False),
 }
-_WS = "' \\t\\n\\u000b\\f\\r'"
+_WS = "' \\t\\n\\u000b\\u000c\\r'"
 
 
 def base_columns(df: DataFrame, text: str = "text") -> DataFrame:
