@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, packing, quality, sharding, tokencount
+from . import ann, lattice, mixing, packing, quality, sharding, tokencount, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_sharding": sharding.op2,
     "op3_nearest_neighbours": ann.op3,
+    "op6_toxicity": toxicity.op6,
+    "op7_lattice_likelihood": lattice.op7,
     "op8_mixing": mixing.op8,
     "op9_packing": packing.op9,
     "op10_token_counts": tokencount.op10,
