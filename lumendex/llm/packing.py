@@ -37,7 +37,7 @@ GROUP = 20_000
 FAN = 16
 ROUNDS = 4
 UNDERFULL = 0.995
-REMEMBER = 400_000
+REMEMBER = 700_000
 MOST_STEPS = 8
 
 # Latin text: which characters are letters and numbers is the same in every version of Unicode.
@@ -58,20 +58,17 @@ class Encoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> np.ndarray:
-        if "<|" in text or not _PLAIN.fullmatch(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        words = _WORDS.findall(text.lower())
-        known = self.known
-        try:
-            return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
-        except KeyError:
-            new = list({w for w in words if w not in known})
-        if len(known) > REMEMBER:
-            known.clear()
-            new = list(set(words))
-        known.update(zip(new, self._ids(new)))
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Words not met before go to the library, those of all texts in one call."""
+        whole = ["<|" in t or not _PLAIN.fullmatch(t) for t in texts]
+        words = [[] if w else _WORDS.findall(t.lower()) for w, t in zip(whole, texts)]
+        distinct = set().union(*words)
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        new = list(distinct.difference(self.known))
+        self.known.update(zip(new, self._ids(new)))
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(self._ids([t])) if w else b"".join(map(get, ws)), "<u4") for w, t, ws in zip(whole, texts, words)]
 
 
 @lru_cache(2)
@@ -96,8 +93,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
             text = b.column(1)
             for i, j, _, _ in chunks(text):
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, t in enumerate(text[i:j].to_pylist(), i):
-                    ids = np.append(e.encode(t or ""), np.array([END], "<u4")).astype("<u4")
+                for k, ids in enumerate(e.encode([t or "" for t in text[i:j].to_pylist()]), i):
+                    ids = np.append(ids, np.array([END], "<u4")).astype("<u4")
                     for p, s in enumerate(range(0, len(ids), capacity)):
                         part = ids[s : s + capacity]
                         row.append(k), piece.append(p), start.append(s), length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
