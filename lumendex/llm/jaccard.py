@@ -1,0 +1,346 @@
+"""Exact joins of documents by the Jaccard similarity of their word shingles, with a token-group matrix.
+
+1. Every document's set of shingles (64-bit hashes) is made from its whole text. Equal sets are one class, represented
+   by its smallest doc_id; what follows concerns representatives.
+2. Candidates come from the pigeonhole principle. Sets of a size class whose similarity reaches the threshold differ
+   in at most H elements; when hashes deal all elements into H + 2 parts, at least two parts are equal in both. So a
+   set is listed under a key for each of its parts, and similar sets meet under at least one key. (An empty part is
+   listed only by sets with two or more of them: others have a non-empty part in common.) Sets near the lower edge of
+   their class are also listed under the keys of the class below, as it deals them.
+3. Under each key the smallest document leads; every document is compared with its leaders, not with each other. The
+   links that hold give components.
+4. Similar documents make groups: those that share their first leader, in chunks of at most about CHUNK, a component
+   at a time. A group is stored with the union of its members' tokens. A document that met, under a key of three or
+   more, documents of other components is a query to the groups of those documents' leaders: the tokens that it shares
+   with the union bound what it shares with any member, and only groups whose bound reaches the overlap that the
+   threshold calls for are opened and compared member by member.
+5. Components of all links.
+
+So every link between different components is found, and none that is implied by others need be: work within a large
+family of near copies grows with its size, not with its square, but for documents that are like a family and linked
+to none of it, which meet its groups. No candidate is dropped or capped.
+
+Defined results: a null or empty text has no shingles and is linked with nothing, its component is its own id; a text
+of fewer words than a shingle is one shingle; rows of one doc_id are one node; a row with a null doc_id takes no part
+and has a null component; an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ._store import cut, table
+from ._text import LOWER, chunks, hashes, mix, spans
+
+U = np.uint64
+GROWTH = 1.5
+CHUNK = 128
+MEMBERS = 512
+FILTER_WORDS = 1 << 18
+
+
+class Rule:
+    """Words in a shingle, and the least similarity as a fraction num / den."""
+
+    def __init__(self, shingle: int, threshold: tuple[int, int]):
+        self.shingle, (self.num, self.den) = shingle, threshold
+        self.edges = [1]
+        while self.edges[-1] < 1 << 40:
+            self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * GROWTH)))
+
+    def size_class(self, n: int) -> int:
+        return int(np.searchsorted(self.edges, n, "right")) - 1
+
+    def parts(self, c: int) -> int:
+        """Parts for class c: two more than the most elements in which a set of it differs from one like it of its size or more; 0 if only equal sets are alike."""
+        most = (self.edges[c + 1] - 1) * (self.den - self.num) // self.num
+        return most + 2 if most else 0
+
+    def reaches_below(self, n: int, c: int) -> bool:
+        return c > 0 and self.num * n <= self.den * (self.edges[c] - 1)
+
+    def linked(self, a, b, both):
+        return self.den * both >= self.num * (a + b - both)
+
+    def overlap(self, a: int, b: int) -> int:
+        """Least overlap of linked sets of a and b elements."""
+        return -(-self.num * (a + b) // (self.num + self.den))
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each row."""
+    low = LOWER[data]
+    starts, ends, row = spans(low, offsets)
+    words = hashes(low, starts, ends)
+    n = len(words)
+    with np.errstate(over="ignore"):
+        whole = np.full(max(n - shingle + 1, 0), shingle, U)
+        for k in range(shingle):
+            whole = mix(whole * U(0x9E3779B97F4A7C15) + words[k : n - shingle + 1 + k])
+    first = np.searchsorted(row, np.arange(len(offsets)))
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+        if b - a >= shingle:
+            out.append(np.unique(whole[a : b - shingle + 1]))
+        elif b > a:
+            h = np.full(1, b - a, U)
+            with np.errstate(over="ignore"):
+                for w in words[a:b]:
+                    h = mix(h * U(0x9E3779B97F4A7C15) + w)
+            out.append(h)
+        else:
+            out.append(np.zeros(0, U))
+    return out
+
+
+def part_keys(s: np.ndarray, mixed: np.ndarray, c: int, parts: int) -> np.ndarray:
+    """The keys of set s as class c deals it."""
+    part = (s % U(parts)).astype(np.int64)
+    o = np.argsort(part, kind="stable")
+    edge = np.searchsorted(part[o], np.arange(parts + 1))
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, U), np.cumsum(mixed[o])])
+        sums = total[edge[1:]] - total[edge[:-1]]
+        keys = mix(sums + mix(np.arange(parts, dtype=U) + (U(c) << U(44))))
+    full = edge[1:] > edge[:-1]
+    return keys if (~full).sum() >= 2 else keys[full]
+
+
+_SIGNED = "doc_id long, n long, fp1 long, fp2 long, own array<long>, probe array<long>"
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    edge = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([np.zeros(0, U), *arrays]).astype(np.int64)))
+
+
+def signed(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, n (elements), a fingerprint of the set in two words, keys under the own class and the class below."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, j, data, offsets in chunks(b.column(1)):
+                rows = []
+                for s in shingle_sets(data, offsets, rule.shingle):
+                    own = probe = np.zeros(0, U)
+                    mixed = mix(s ^ U(0x5851F42D4C957F2D))
+                    if len(s):
+                        c = rule.size_class(len(s))
+                        if p := rule.parts(c):
+                            own = part_keys(s, mixed, c, p)
+                        if rule.reaches_below(len(s), c) and (p := rule.parts(c - 1)):
+                            probe = part_keys(s, mixed, c - 1, p)
+                    with np.errstate(over="ignore"):
+                        rows.append((len(s), mixed.sum(dtype=U), np.bitwise_xor.reduce(mix(mixed)), own, probe))
+                n, fp1, fp2, own, probe = zip(*rows)
+                ints = lambda x: pa.array(np.array(x, U).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], ints(n), ints(fp1), ints(fp2), _lists(own), _lists(probe)], [c.split()[0] for c in _SIGNED.split(", ")])
+
+    return docs.select("doc_id", "text").mapInArrow(f, _SIGNED)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, comp: the smallest node reachable over edges (u, v), of the nodes that have edges.
+
+    Large-star and small-star steps in turn: each node's neighbours are linked to the smallest node next to it, until
+    nothing changes; every component is then a star around its smallest node."""
+    e = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while True:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.distinct(), "large")
+        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.join(low, "u")
+        small = small.select("v", "m").where("v != m").unionByName(low.select(F.col("u").alias("v"), "m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = cut(small.distinct(), "edges")
+        changed = new.join(e, ["u", "v"], "left_anti").limit(1).count() or e.join(new, ["u", "v"], "left_anti").limit(1).count()
+        e = new
+        if not changed:
+            break
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+
+
+def _bit(c: Column | str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents of ids (doc_id). A bitmap of fixed size keeps most others out of the shuffle."""
+    words = ids.select(_bit("doc_id").alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(FILTER_WORDS, np.int64)
+    bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2 MB, whatever the corpus
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+            keep = sent.value[at // 64].view(U) >> (at % 64).astype(U) & U(1)
+            yield b.filter(pa.array(keep.astype(bool))).select([0, 1])
+
+    near = docs.select("doc_id", "text", _bit("doc_id").alias("b")).where("doc_id is not null").mapInArrow(f, "doc_id long, text string")
+    return cut(near.join(ids.select("doc_id").distinct(), "doc_id", "left_semi"), "texts")
+
+
+_ROWS = "g long, sub long, role int, doc_id long, comp long, text string"
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, pa.RecordBatch]]:
+    """((g, sub), role, rows): maximal runs of each batch."""
+    for b in batches:
+        k = np.stack([b.column(c).to_numpy() for c in range(3)], 1)
+        edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+        for s, t in zip(edges, edges[1:]):
+            if t > s:
+                yield (int(k[s, 0]), int(k[s, 1])), int(k[s, 2]), b.slice(s, t - s)
+
+
+class Group:
+    """A group's tokens with their owners, sorted, and their union."""
+
+    def __init__(self, ids: list[int], comps: list[int], sets: list[np.ndarray]):
+        self.ids, self.comps, self.sizes = np.array(ids), np.array(comps), np.array([len(s) for s in sets])
+        token, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), self.sizes)
+        o = np.argsort(token, kind="stable")
+        self.token, self.owner = token[o], owner[o]
+        self.union, self.first = np.unique(self.token, return_index=True)
+        self.first = np.append(self.first, len(self.token))
+
+    def links(self, doc: int, comp: int, s: np.ndarray, rule: Rule) -> np.ndarray:
+        """Members of other components that s is linked with, one a component."""
+        fit = (rule.den * self.sizes >= rule.num * len(s)) & (rule.num * self.sizes <= rule.den * len(s)) & (self.comps != comp) & (self.ids != doc)
+        if not fit.any():
+            return self.ids[:0]
+        at = np.minimum(np.searchsorted(self.union, s), len(self.union) - 1)
+        at = at[self.union[at] == s]
+        if len(at) < rule.overlap(len(s), int(self.sizes[fit].min())):  # the bound: the group stays closed
+            return self.ids[:0]
+        lens = self.first[at + 1] - self.first[at]
+        spots = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
+        both = np.bincount(self.owner[spots], minlength=len(self.ids))
+        ok = np.flatnonzero(fit & rule.linked(self.sizes, len(s), both))
+        return self.ids[ok[np.unique(self.comps[ok], return_index=True)[1]]]
+
+
+def verify(rows: DataFrame, rule: Rule) -> DataFrame:
+    """u, v: links of the queries (role 1) of each (g, sub) with its group's members (role 0)."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = rows.repartition(parts, "g", "sub").sortWithinPartitions("g", "sub", "role")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group, held = None, None, []
+        for key, role, b in _runs(batches):
+            if key != at:
+                at, group, held = key, None, []
+            ids, comps = b.column(3).to_pylist(), b.column(4).to_pylist()
+            u, v = [], []
+            for i, j, data, offsets in chunks(b.column(5)):
+                for d, c, s in zip(ids[i:j], comps[i:j], shingle_sets(data, offsets, rule.shingle)):
+                    if not len(s):
+                        continue
+                    if role == 0:
+                        held.append((d, c, s))
+                        continue
+                    if group is None and held:
+                        group = Group(*map(list, zip(*held)))
+                    if group is not None:
+                        new = group.links(d, c, s, rule).tolist()
+                        u += [d] * len(new)
+                        v += new
+            if u:
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return x.mapInArrow(f, "u long, v long")
+
+
+def _laid_out(docs: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows for verify() from (g, sub, doc_id, comp)."""
+    a = members.withColumn("role", F.lit(0)).unionByName(queries.withColumn("role", F.lit(1)))
+    return a.join(docs, "doc_id").select(*[c.split()[0] for c in _ROWS.split(", ")])
+
+
+def links(docs: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
+    """u, v: links between representatives that connect whatever is connected."""
+    reps = cut(marks.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "reps")
+    listed = marks.join(reps, "doc_id", "left_semi").select("doc_id", F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own"))), F.transform("probe", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own"))))).alias("k"))
+    listed = listed.select(F.col("k.key").alias("key"), "doc_id", F.col("k.own").alias("own"))
+    led = listed.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("doc_id"))).alias("leader"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("rows"))
+    led = cut(led.where("leader is not null and least != most").select("key", "leader", "rows"), "leaders")
+    met = cut(listed.select("key", "doc_id").join(led, "key"), "met")
+
+    # every document with its leaders
+    stars = cut(met.where("doc_id != leader").select("leader", "doc_id").distinct(), "stars")
+    ids = cut(stars.select("doc_id").unionByName(stars.select(F.col("leader").alias("doc_id"))).distinct(), "star-ids")
+    texts = texts_of(docs, ids)
+    subs = stars.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS).alias("subs"))
+    subs = cut(subs, "star-subs")
+    none = F.lit(-1).cast("long")
+    asked = stars.join(subs, "leader").select(F.col("leader").alias("g"), F.pmod(F.xxhash64("doc_id"), F.col("subs")).alias("sub"), "doc_id", none.alias("comp"))
+    leads = subs.select(F.col("leader").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub")).select("g", "sub", F.col("g").alias("doc_id"), (none - 1).alias("comp"))
+    first = cut(verify(_laid_out(texts, leads, asked), rule), "links")
+
+    # documents that met other components, as queries to groups
+    comp = cut(components(first), "components")
+    comp = cut(ids.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp")), "comp-of")
+    more = met.where("rows > 2").join(comp, "doc_id").join(comp.select(F.col("doc_id").alias("leader"), F.col("comp").alias("lead_comp")), "leader")
+    more = cut(more.select("key", "doc_id", "leader", "comp", "lead_comp"), "met-comps")
+    mixed = cut(more.where("comp != lead_comp").select("key").distinct(), "mixed")
+    at = more.join(mixed, "key", "left_semi")
+    family = cut(at.groupBy("doc_id", "comp").agg(F.min("leader").alias("family")), "families")
+    sizes = family.groupBy("family", "comp").agg(F.count("*").alias("size"))
+    small = sizes.where(f"size <= {CHUNK}").groupBy("family").agg(F.sum("size").alias("small"))
+    sizes = cut(sizes.join(small, "family", "left"), "family-sizes")
+    place = F.when(F.col("size") > CHUNK, F.xxhash64("family", "comp", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / CHUNK)))).otherwise(
+        F.xxhash64("family", F.pmod(F.xxhash64("comp"), F.ceil(F.col("small") / CHUNK)))
+    )
+    grouped = cut(family.join(sizes, ["family", "comp"]).select("doc_id", "comp", "family", place.alias("g")), "groups")
+    seen = at.select("key", "doc_id").join(grouped.select("doc_id", "family"), "doc_id").select("key", "family").distinct()
+    asks = at.where("comp != lead_comp").select("key", "doc_id", "comp").join(seen, "key").select("doc_id", "comp", "family").distinct()
+    zero = F.lit(0).cast("long").alias("sub")
+    units = asks.join(grouped.select("family", "g").distinct(), "family").select("g", zero, "doc_id", "comp").distinct()
+    second = verify(_laid_out(texts, grouped.select("g", zero, "doc_id", "comp"), units), rule)
+    return first.unionByName(cut(second, "links"))
+
+
+def join(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int] = (90, 100)) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links: of each row of docs.
+
+    n_links counts the links kept with the document's class (those that connect, not all that hold)."""
+    rule = Rule(shingle, threshold)
+    marks = cut(signed(docs, rule), "marks")
+    found = cut(links(docs, marks, rule), "all-links")
+    comp = components(found).withColumnsRenamed({"node": "rep", "comp": "rep_comp"})
+    count = found.select(F.col("u").alias("rep")).unionByName(found.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    classes = marks.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
+    classes = cut(classes.join(comp, "rep", "left").join(count, "rep", "left"), "classes")
+    classes = classes.select(F.col("fp1").alias("a"), F.col("fp2").alias("b"), F.col("n").alias("m"), "rep", F.coalesce("rep_comp", "rep").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("links"))
+    # an id with several texts ties their classes together
+    ids = marks.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("fp1").alias("lo"), F.max("fp1").alias("hi"))
+    narrow = marks.select("doc_id", "n", "fp1", "fp2")
+    x = narrow.join(classes, (F.col("fp1") == F.col("a")) & (F.col("fp2") == F.col("b")) & (F.col("n") == F.col("m")), "left")
+    x = x.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "doc_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    several = ids.where("lo != hi").select("doc_id").limit(1).count()
+    if not several:
+        return x
+    x = cut(x, "rows")
+    ties = components(x.where("component_id is not null").select(F.col("doc_id").alias("u"), F.col("component_id").alias("v")))
+    x = x.join(ties.withColumnsRenamed({"node": "doc_id"}), "doc_id", "left")
+    return x.select("doc_id", "n_shingles", F.coalesce("comp", "component_id").alias("component_id"), "n_links")
+
+
+def filter_documents(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int] = (8, 10)) -> DataFrame:
+    """One row of docs for each component: that of its smallest doc_id. Rows with a null id stay."""
+    keep = join(docs, shingle, threshold).where("doc_id = component_id").select("doc_id").distinct()
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    x = docs.join(keep, "doc_id", "left_semi").withColumn("__k", F.row_number().over(one)).where("__k = 1")
+    return x.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def op5(spark, sf_dir):
+    return join(table(spark, sf_dir, "documents"))
