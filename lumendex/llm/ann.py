@@ -7,7 +7,7 @@ EPSILON * sqrt((1 - f * f) / (f * f) / (D - 1)) of the lengths' product but for
 A query's vectors whose estimate plus bound reaches the k-th best product found so far are reranked by exact products
 in double precision; no other limit is set on their number.
 
-Vectors are dealt by a hash of their id into parts of at most about PART; every query visits every part, a block of
+Vectors are dealt by a hash of their id into parts of about PART (smaller tables into up to SPREAD, for parallel work); every query visits every part, a block of
 queries at a time, and brings back its k best of each. The centroid is fitted on SAMPLE vectors with the smallest
 hashes; all vectors are indexed.
 
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from ._store import cut, table
 
 K = 20
-PART = 16_384
+PART = 65_536
+LEAST_PART = 4096
+SPREAD = 12
 QUERIES = 256
 SAMPLE = 4096
 EPSILON = 2.2
@@ -119,7 +121,7 @@ class Part:
 def search(index: DataFrame, centroid: np.ndarray, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id, embedding) the k nearest found."""
     n = index.count()
-    parts = max(1, -(-n // PART), min(48, n // 2048))
+    parts = max(1, -(-n // PART), min(SPREAD, n // LEAST_PART))  # each part sends k rows a query back
     own = index.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"), F.lit(0).alias("role"), "vec_id", "embedding", "code", "far", "fit")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("code", "binary"), ("far", "double"), ("fit", "double"))]
     asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(1).alias("role"), "vec_id", "embedding", *none)
