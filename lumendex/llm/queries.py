@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import ann, jaccard, lattice, mixing, packing, quality, sharding, tokencount, toxicity
+from . import ann, jaccard, lattice, mixing, packing, quality, sharding, tokencount, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op2_sharding": sharding.op2,
     "op3_nearest_neighbours": ann.op3,
+    "op4_warc": warc.op4,
     "op5_ngram_jaccard": jaccard.op5,
     "op6_toxicity": toxicity.op6,
     "op7_lattice_likelihood": lattice.op7,
