@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.editdist import osa_distance
 from ..sources.catalog import Catalog
@@ -22,7 +23,7 @@ def fixed_prefix(pattern: str) -> str:
     return re.split(r"[*?]", pattern, maxsplit=1)[0]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _osa(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for term, word, most in batches:
         yield pd.Series([osa_distance(a, b, int(k)) for a, b, k in zip(term, word, most)], dtype="int32")
