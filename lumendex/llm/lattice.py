@@ -38,7 +38,12 @@ CELLS = 1 << 18
 _MARK = "▁"
 _WS = "' \\t\\n\\u000b\\u000c\\r'"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_B = np.uint64(0x9E3779B97F4A7C17)
+_B, _SEED, _BITS = np.uint64(0x9E3779B97F4A7C17), np.uint64(0x1234567), np.uint64(1 << 20)
+
+
+def _step(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mix(h * _B + code)
 
 
 def default_path() -> str:
@@ -60,30 +65,32 @@ class Vocabulary:
         first = 1.0 / (rank + 2.0)
         self.first = first / first.sum()
         self.longest = max(map(len, pieces))
-        keys = np.array([self._key(np.array([ord(c) for c in p], np.uint64)) for p in pieces], np.uint64)
+        keys = np.zeros(len(pieces), np.uint64)
+        for k in {len(p) for p in pieces}:
+            of = [i for i, p in enumerate(pieces) if len(p) == k]
+            codes = np.array([[ord(c) for c in pieces[i]] for i in of], np.uint64)
+            h = np.full(len(of), _SEED, np.uint64)
+            for j in range(k):
+                h = _step(h, codes[:, j])
+            keys[of] = h
         o = np.argsort(keys)
         self.keys, self.ids = keys[o], o.astype(np.int64)
-        self.by_length = [np.sort(keys[[len(p) == k for p in pieces]]) for k in range(self.longest + 1)]
-
-    @staticmethod
-    def _key(codes: np.ndarray) -> np.uint64:
-        h = np.uint64(len(codes))
-        with np.errstate(over="ignore"):
-            for c in codes:
-                h = mix(np.array([h * _B + c], np.uint64))[0]
-        return h
+        self.seen = np.zeros(_BITS, bool)  # most stretches of text are no piece; one look tells
+        self.seen[keys % _BITS] = True
 
     def arcs(self, codes: np.ndarray) -> list[np.ndarray]:
         """For k = 1, 2, ...: of each word (row) and place, the id of the piece of k characters from there, or -1."""
         n = codes.shape[1]
-        out = []
+        out, h = [], np.full(codes.shape, _SEED, np.uint64)
         for k in range(1, min(self.longest, n) + 1):
-            h = np.full((codes.shape[0], n - k + 1), k, np.uint64)
-            with np.errstate(over="ignore"):
-                for j in range(k):
-                    h = mix(h * _B + codes[:, j : n - k + 1 + j])
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            out.append(np.where(self.keys[at] == h, self.ids[at], -1))
+            h = _step(h[:, : n - k + 1], codes[:, k - 1 :])
+            ids = np.full(h.shape, -1, np.int64)
+            r, c = np.nonzero(self.seen[h % _BITS])
+            if len(r):
+                key = h[r, c]
+                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                ids[r, c] = np.where(self.keys[at] == key, self.ids[at], -1)
+            out.append(ids)
         return out
 
 
@@ -120,17 +127,18 @@ def forward(v: Vocabulary, words: list[str], logp: np.ndarray, counts: np.ndarra
         cost = [padded[x] for x in ids]
         size = 1 + (codes > 0x7F).astype(int) + (codes > 0x7FF) + (codes > 0xFFFF)
         cost[0] = np.where(ids[0] < 0, size * math.log(BYTE), cost[0])
+        some = [k for k, x in enumerate(ids, 1) if k == 1 or (x >= 0).any()]
         alpha = np.full((n + 1, len(at)), -np.inf)
         alpha[0] = 0
         for e in range(1, n + 1):
-            alpha[e] = _lse(np.stack([alpha[e - k] + cost[k - 1][:, e - k] for k in range(1, min(len(cost), e) + 1)]))
+            alpha[e] = _lse(np.stack([alpha[e - k] + cost[k - 1][:, e - k] for k in some if k <= e]))
         total[at] = alpha[n]
         if counts is None:
             continue
         beta = np.full((n + 1, len(at)), -np.inf)
         beta[n] = 0
         for s in range(n - 1, -1, -1):
-            beta[s] = _lse(np.stack([cost[k - 1][:, s] + beta[s + k] for k in range(1, min(len(cost), n - s) + 1)]))
+            beta[s] = _lse(np.stack([cost[k - 1][:, s] + beta[s + k] for k in some if k <= n - s]))
         for k, x in enumerate(ids, 1):
             r, s = np.nonzero(x >= 0)
             if len(r):
