@@ -73,12 +73,16 @@ def train(rows: DataFrame, columns: list[str], gradient=listnet_gradient, rate:
     rows: qid, label, features. A query's list is what one search returned, so it is short."""
     w = np.zeros(len(columns))
     schema = ", ".join(f"g{i} double" for i in range(len(columns)))
-    for _ in range(rounds):
-        def f(pdf: pd.DataFrame, w=w) -> pd.DataFrame:
+
+    def of(w: np.ndarray):
+        def f(pdf: pd.DataFrame) -> pd.DataFrame:
             x, y = _matrix(pdf, columns)
             return pd.DataFrame([gradient(x, y, w)], columns=[f"g{i}" for i in range(len(columns))])
 
-        g = rows.groupBy("qid").applyInPandas(f, schema).agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in range(len(columns))]).first()
+        return f
+
+    for _ in range(rounds):
+        g = rows.groupBy("qid").applyInPandas(of(w), schema).agg(*[F.sum(f"g{i}").alias(f"g{i}") for i in range(len(columns))]).first()
         w = w - rate * np.array([v or 0.0 for v in g])
     return w
 

@@ -215,3 +215,11 @@ add(
 x AS (SELECT m.*, coalesce(r, 0) AS r, rn, ((coalesce(r, 0) + 0.5) * (nn - (rn - coalesce(r, 0)) - n + 0.5)) / ((rn - coalesce(r, 0) + 0.5) * (n - coalesce(r, 0) + 0.5)) AS tw FROM m LEFT JOIN rt USING (term), rr)
 SELECT did, round(sum(ln(CASE WHEN tw < 2 THEN tw * 0.5 + 1 ELSE tw END) * 2.0 * f / (0.5 * greatest(l / avl, 0.5) + 0.5 + f)), 6) AS w FROM x GROUP BY did""",
 )(lambda s, d: found(s, d, Q.of("OR", T("thing", "der", "with")), relevant=judged(s, d)))
+
+
+def _register() -> None:
+    """The other modules of queries add to the same tables."""
+    from . import queries_session, queries_text  # noqa: F401
+
+
+_register()

@@ -248,7 +248,7 @@ def pages_catalog(pages: DataFrame, language: str = "none") -> Catalog:
     for t in terms:
         tokens = tokens.unionByName(t)
     size = F.octet_length("html").cast("double")
-    values = x.select("did", F.explode(F.array(F.struct(F.lit(1).alias("slot"), F.md5(F.col("html").cast("binary")).alias("value"), F.lit(None).cast("double").alias("num")), F.struct(F.lit(2), size.cast("long").cast("string"), size))).alias("v")).select("did", "v.*")
+    values = x.select("did", F.explode(F.array(F.struct(F.lit(1).alias("slot"), F.md5(F.col("html").cast("binary")).alias("value"), F.lit(None).cast("double").alias("num")), F.struct(F.lit(2).alias("slot"), size.cast("long").cast("string").alias("value"), size.alias("num")))).alias("v")).select("did", "v.*")
     data = F.concat_ws("\n", F.concat(F.lit("url="), "url"), F.concat(F.lit("caption="), "title"), F.concat(F.lit("sample="), F.substring("text", 1, 200)), F.lit("type=text/html"))
     return Catalog(x.select("did", data.alias("data")), postings_of(tokens), values)
 

@@ -34,13 +34,13 @@ def running_facets(matches: DataFrame, value: str = "value") -> DataFrame:
 def windowed_counts(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Events of each type in windows of event time; rows later than `late` are dropped (an extension, for event streams)."""
     w = F.window("ts", size, slide) if slide else F.window("ts", size)
-    x = events.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    x = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return x.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
     """Sessions of each user, ended by a pause."""
-    x = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    x = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return x.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
