@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import ann, jaccard, lattice, mixing, packing, quality, sharding, tokencount, toxicity, warc
+from .oracle import ORACLE_SQL
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -17,4 +18,4 @@ QUERIES = {
     "op10_token_counts": tokencount.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._store import new_path, table
+from ._store import new_path, small_batches, table
 
 FRAME = 1 << 18
 BUNDLE = 1 << 24
@@ -226,6 +226,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op4(spark, sf_dir):
+    small_batches(spark)
     path = new_path(spark, "archives")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path)
+    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
