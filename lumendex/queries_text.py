@@ -293,3 +293,71 @@ def _(s, d):
 @add("stream_windowed_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(s, d):
     return _drain(s, streaming.windowed_counts(_stream(s, d, "events"), size="1 hour"), "complete", "windows_now").select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+# ---- requests of a search page
+
+def request(name, params, sql, **options):
+    @add(f"request_{name}", sql)
+    def _(s, d):
+        from .plans.request import Request
+
+        return Request(catalog(s, d), params, QueryParser(), **options).page().select("did", "rank", _r("w").alias("w"))
+
+
+_PAGE = "SELECT did, CAST(row_number() OVER ({o}) - 1 AS INTEGER) AS rank, round(w, 6) AS w FROM ({q}) ORDER BY rank LIMIT {n} OFFSET {k}"
+request("words_and_paging", {"P": ["thing der"], "TOPDOC": ["10"], "HITSPERPAGE": ["15"]}, PRE + leaves("thing", "der") + _PAGE.format(o="ORDER BY w DESC, did", q=f"SELECT did, sum({BM25}) AS w FROM m GROUP BY did", n=15, k=10))
+request("two_boxes_are_anded", {"P": ["thing", "with"], "HITSPERPAGE": ["20"]}, PRE + leaves("thing", "with") + _PAGE.format(o="ORDER BY w DESC, did", q=f"SELECT did, sum({BM25}) AS w FROM m GROUP BY did HAVING count(*) = 2", n=20, k=0))
+request("sort_and_collapse", {"P": ["thing"], "SORT": ["-2"], "COLLAPSE": ["1"], "HITSPERPAGE": ["30"]}, PRE + leaves("thing") + _PAGE.format(o="ORDER BY len8 DESC, w DESC, did", q=f"SELECT * FROM (SELECT did, {BM25} AS w, len8, row_number() OVER (PARTITION BY source ORDER BY len8 DESC, {BM25} DESC, did) AS rn FROM m JOIN d USING (did)) WHERE rn = 1", n=30, k=0))
+request("exclude", {"P": ["of"], "N": ["thing", "der"], "HITSPERPAGE": ["25"], "DOCIDORDER": ["D"]}, PRE + leaves("of") + _PAGE.format(o="ORDER BY w DESC, did DESC", q=f"SELECT did, sum({BM25}) AS w FROM m WHERE did NOT IN (SELECT did FROM p WHERE term IN ('thing', 'der')) GROUP BY did", n=25, k=0))
+
+
+@add("request_date_terms", "SELECT o_orderkey FROM orders WHERE o_orderdate >= '1995-12-30' AND o_orderdate < '1997-02-03'")
+def _(s, d):
+    from .plans.request import Request
+
+    o = table(s, d, "orders").withColumnRenamed("o_orderkey", "did")
+    day = F.date_format("o_orderdate", "yyyyMMdd")
+    tokens = None
+    for prefix, value in (("D", day), ("M", F.substring(day, 1, 6)), ("Y", F.substring(day, 1, 4))):
+        t = cat.boolean_tokens(o, prefix, value)
+        tokens = t if tokens is None else tokens.unionByName(t)
+    k = cat.Catalog(o.select("did", F.lit("").alias("data")), cat.postings_of(tokens), s.createDataFrame([], "did long, slot int, value string, num double"))
+    return Request(k, {"START": ["19951230"], "END": ["19970202"]}, QueryParser()).session().matches.select(F.col("did").alias("o_orderkey"))
+
+
+@add("request_filter_terms", "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey = 3")
+def _(s, d):
+    from .plans.request import Request
+
+    c = table(s, d, "customer").withColumnRenamed("c_custkey", "did")
+    tokens = cat.boolean_tokens(c, "XSEG:", F.col("c_mktsegment")).unionByName(cat.boolean_tokens(c, "XNAT", F.col("c_nationkey").cast("string")))
+    k = cat.Catalog(c.select("did", F.lit("").alias("data")), cat.postings_of(tokens), s.createDataFrame([], "did long, slot int, value string, num double"))
+    return Request(k, {"B": ["XSEG:BUILDING", "XSEG:MACHINERY", "XNAT3"]}, QueryParser()).session().matches.select(F.col("did").alias("c_custkey"))
+
+
+# ---- the remaining tables of a catalog
+
+def _more_tables(s, d):
+    p, n = table(s, d, "part"), table(s, d, "nation")
+    return catalog(s, d).with_tables(
+        metadata=n.select(F.concat(F.lit("nation/"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("value")),
+        synonyms=p.select(F.lower("p_brand").alias("term"), F.lower("p_type").alias("synonym")).distinct(),
+        spelling=p.groupBy(F.lower("p_name").alias("word")).agg(F.count("*").alias("freq")),
+    )
+
+
+add("metadata_get", "SELECT 'nation/7' AS key, n_name AS value FROM nation WHERE n_nationkey = 7")(lambda s, d: _more_tables(s, d).metadata.where("key = 'nation/7'"))
+add("metadata_keys", "SELECT 'nation/' || n_nationkey AS key FROM nation WHERE n_nationkey BETWEEN 10 AND 19 OR n_nationkey = 1")(lambda s, d: _more_tables(s, d).metadata_keys("nation/1"))
+add("scan_spelling", "SELECT lower(p_name) AS word, count(*) AS freq FROM part GROUP BY lower(p_name)")(lambda s, d: _more_tables(s, d).spelling)
+add("scan_synonym_keys", "SELECT lower(p_brand) AS term, count(DISTINCT lower(p_type)) AS n FROM part GROUP BY 1")(lambda s, d: _more_tables(s, d).synonyms.groupBy("term").agg(F.count("*").alias("n")))
+add("result_diversification")(lambda s, d: _diversified(s, d))
+
+
+def _diversified(s, d):
+    from .operators import cluster
+
+    c = catalog(s, d)
+    top = Enquire(c, Q.of("OR", T("thing", "der", "with"))).mset(0, 50).orderBy("rank").collect()
+    order = cluster.diversified(cluster.page_matrix(c, [r.did for r in top]), [r.w for r in top], 20, 10)
+    return s.createDataFrame([(k, top[i].did) for k, i in enumerate(order)], "place int, did long")
