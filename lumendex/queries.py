@@ -57,7 +57,7 @@ PRE = """WITH d AS (SELECT doc_id + 1 AS did, regexp_extract_all(lower(text), '[
 tok AS (SELECT did, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS pos FROM d),
 p AS (SELECT did, term, count(*) AS f, list(pos ORDER BY pos) AS positions FROM tok GROUP BY ALL),
 ds AS (SELECT d.did, coalesce(sum(f), 0) AS l, count(f) AS u, coalesce(max(f), 0) AS m FROM d LEFT JOIN p ON p.did = d.did GROUP BY d.did),
-ts AS (SELECT term, count(*) AS n, sum(f) AS c, max(f) AS ub FROM p GROUP BY term),
+ts AS (SELECT term, count(*) AS n, CAST(sum(f) AS BIGINT) AS c, max(f) AS ub FROM p GROUP BY term),
 cs AS (SELECT CAST(count(*) AS DOUBLE) AS nn, CAST(sum(l) AS DOUBLE) AS tt, sum(l) / CAST(count(*) AS DOUBLE) AS avl, CAST(max(l) AS DOUBLE) AS lmax FROM ds)
 """
 BM25_IDF = "ln(CASE WHEN (nn - n + 0.5) / (n + 0.5) < 2 THEN (nn - n + 0.5) / (n + 0.5) * 0.5 + 1 ELSE (nn - n + 0.5) / (n + 0.5) END)"

@@ -24,6 +24,15 @@ _SCHEMAS = {
     "synonyms": "term string, synonym string",
     "metadata": "key string, value string",
 }
+_DERIVED = {
+    "docstats": "did long, doclen long, uniq long, wdfmax long",
+    "termstats": "term string, termfreq long, collfreq long, wdf_ub long",
+    "collstats": "n long, total_len long, avg_len double, len_min long, len_max long, uniq_min long, uniq_max long, last_did long",
+}
+_COLLECTION_SQL = (
+    "count(*) AS n", "coalesce(sum(doclen), 0L) AS total_len", "coalesce(avg(doclen), 0D) AS avg_len", "min(doclen) AS len_min", "max(doclen) AS len_max",
+    "min(uniq) AS uniq_min", "max(uniq) AS uniq_max", "max(did) AS last_did",
+)
 MAX_TERM_BYTES = 245
 
 
@@ -99,10 +108,7 @@ class Catalog:
     @cached_property
     def collstats(self) -> DataFrame:
         """One row: n, total_len, avg_len, bounds of lengths and distinct terms, last_did."""
-        return self.docstats.agg(
-            F.count("*").alias("n"), F.coalesce(F.sum("doclen"), F.lit(0)).alias("total_len"), F.coalesce(F.avg("doclen"), F.lit(0.0)).alias("avg_len"),
-            F.min("doclen").alias("len_min"), F.max("doclen").alias("len_max"), F.min("uniq").alias("uniq_min"), F.max("uniq").alias("uniq_max"), F.max("did").alias("last_did"),
-        )
+        return self.docstats.selectExpr(*_COLLECTION_SQL)
 
     @cached_property
     def stats(self) -> dict:
@@ -114,8 +120,9 @@ class Catalog:
         known = self.extra.setdefault("terms", {})
         new = [t for t in dict.fromkeys(terms) if t not in known]
         if new:
-            rows = self.postings.where(F.col("term").isin(new)).groupBy("term").agg(F.count("*").alias("n"), F.sum("wdf").alias("c"), F.max("wdf").alias("m")).collect()
-            known.update({t: (0, 0, 0) for t in new} | {r.term: (r.n, r.c, r.m) for r in rows})
+            # the filter on terms is pushed below the aggregation, or to the stored dictionary
+            rows = self.termstats.where(F.col("term").isin(new)).collect()
+            known.update({t: (0, 0, 0) for t in new} | {r.term: (r.termfreq, r.collfreq, r.wdf_ub) for r in rows})
         return {t: known[t] for t in terms}
 
     # ---- scans
@@ -182,11 +189,18 @@ class Catalog:
                 df = (df.repartitionByRange(parts, "term", "did") if parts else df.repartitionByRange("term", "did")).sortWithinPartitions("term", "did")
             w = df.write.mode("overwrite")
             (w.partitionBy("slot") if t == "values" else w).parquet(f"{path}/{t}")
+        saved = self.with_tables(**{t: self.spark.read.schema(_SCHEMAS[t]).parquet(f"{path}/{t}") for t in ("documents", "postings")})
+        saved.docstats.write.mode("overwrite").parquet(f"{path}/docstats")
+        saved.termstats.sort("term").write.mode("overwrite").parquet(f"{path}/termstats")
+        self.spark.read.schema(_DERIVED["docstats"]).parquet(f"{path}/docstats").selectExpr(*_COLLECTION_SQL).write.mode("overwrite").parquet(f"{path}/collstats")
 
     @staticmethod
     def open(spark: SparkSession, path: str) -> Catalog:
         order = {t: [c.split()[0] for c in _SCHEMAS[t].split(", ")] for t in TABLES}
-        return Catalog(**{t: spark.read.schema(_SCHEMAS[t]).parquet(f"{path}/{t}").select(*order[t]) for t in TABLES})
+        c = Catalog(**{t: spark.read.schema(_SCHEMAS[t]).parquet(f"{path}/{t}").select(*order[t]) for t in TABLES})
+        for t, schema in _DERIVED.items():  # aggregates that the folder holds; any change of the tables makes them anew
+            c.__dict__[t] = spark.read.schema(schema).parquet(f"{path}/{t}")
+        return c
 
     @staticmethod
     def empty(spark: SparkSession) -> Catalog:
