@@ -3,12 +3,13 @@
 1. Every document's set of shingles (64-bit hashes) is made from its whole text. Equal sets are one class, represented
    by its smallest doc_id; what follows concerns representatives.
 2. Candidates come from the pigeonhole principle. Sets of a size class whose similarity reaches the threshold differ
-   in at most H elements; when hashes deal all elements into H + 2 parts, at least two parts are equal in both. So a
-   set is listed under a key for each of its parts, and similar sets meet under at least one key. (An empty part is
-   listed only by sets with two or more of them: others have a non-empty part in common.) Sets near the lower edge of
-   their class are also listed under the keys of the class below, as it deals them.
-3. Under each key the smallest document leads; every document is compared with its leaders, not with each other. The
-   links that hold give components.
+   in at most H elements; when hashes deal all elements into m > H parts, at least m - H parts are equal in both. So a
+   set is listed under a key for each part that isn't empty, and similar sets meet under m - H - e keys at least, e
+   being the empty parts of the one with fewer. m leaves room for the usual e; a set with more lists its empty parts
+   too. Sets near the lower edge of their class are also listed under the keys of the class below, as it deals them.
+   Sets that meet others under too few keys to be linked with any are out.
+3. Under each key the smallest document leads; every document is compared with those of its leaders with which it
+   shares as many keys as their sizes call for, not with each other. The links that hold give components.
 4. Similar documents make groups: those that share their first leader, in chunks of at most about CHUNK, a component
    at a time. A group is stored with the union of its members' tokens. A document that met, under a key of three or
    more, documents of other components is a query to the groups of those documents' leaders: the tokens that it shares
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import cut, table
+from ._store import cut, small_batches, table
 from ._text import LOWER, chunks, hashes, mix, spans
 
 U = np.uint64
@@ -57,10 +58,18 @@ class Rule:
     def size_class(self, n: int) -> int:
         return int(np.searchsorted(self.edges, n, "right")) - 1
 
+    def most(self, n: int) -> int:
+        """Most elements in which a set of n and one linked with it differ."""
+        return n * (self.den - self.num) // self.num
+
     def parts(self, c: int) -> int:
-        """Parts for class c: two more than the most elements in which a set of it differs from one like it of its size or more; 0 if only equal sets are alike."""
-        most = (self.edges[c + 1] - 1) * (self.den - self.num) // self.num
-        return most + 2 if most else 0
+        """Parts for class c: more than its sets can differ in, and room for as many empty parts as chance makes; 0 if only equal sets are alike."""
+        top = self.edges[c + 1] - 1
+        most = self.most(top)
+        if not most:
+            return 0
+        empty = (most + 2) * math.exp(-top / (most + 2))
+        return most + 2 + math.ceil(empty + 3 * math.sqrt(empty))
 
     def reaches_below(self, n: int, c: int) -> bool:
         return c > 0 and self.num * n <= self.den * (self.edges[c] - 1)
@@ -99,8 +108,8 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np
     return out
 
 
-def part_keys(s: np.ndarray, mixed: np.ndarray, c: int, parts: int) -> np.ndarray:
-    """The keys of set s as class c deals it."""
+def part_keys(s: np.ndarray, mixed: np.ndarray, c: int, parts: int, most: int) -> tuple[np.ndarray, int]:
+    """The keys of set s as class c deals it, and its number of empty parts."""
     part = (s % U(parts)).astype(np.int64)
     o = np.argsort(part, kind="stable")
     edge = np.searchsorted(part[o], np.arange(parts + 1))
@@ -109,10 +118,11 @@ def part_keys(s: np.ndarray, mixed: np.ndarray, c: int, parts: int) -> np.ndarra
         sums = total[edge[1:]] - total[edge[:-1]]
         keys = mix(sums + mix(np.arange(parts, dtype=U) + (U(c) << U(44))))
     full = edge[1:] > edge[:-1]
-    return keys if (~full).sum() >= 2 else keys[full]
+    empty = int((~full).sum())
+    return keys if empty >= parts - most else keys[full], empty
 
 
-_SIGNED = "doc_id long, n long, fp1 long, fp2 long, own array<long>, probe array<long>"
+_SIGNED = "doc_id long, n long, fp1 long, fp2 long, class int, parts int, below int, e_own int, e_probe int, own array<long>, probe array<long>"
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -129,18 +139,19 @@ def signed(docs: DataFrame, rule: Rule) -> DataFrame:
                 rows = []
                 for s in shingle_sets(data, offsets, rule.shingle):
                     own = probe = np.zeros(0, U)
+                    c = parts = below = e_own = e_probe = 0
                     mixed = mix(s ^ U(0x5851F42D4C957F2D))
                     if len(s):
-                        c = rule.size_class(len(s))
-                        if p := rule.parts(c):
-                            own = part_keys(s, mixed, c, p)
-                        if rule.reaches_below(len(s), c) and (p := rule.parts(c - 1)):
-                            probe = part_keys(s, mixed, c - 1, p)
+                        c, most = rule.size_class(len(s)), rule.most(len(s))
+                        if parts := rule.parts(c):
+                            own, e_own = part_keys(s, mixed, c, parts, most)
+                        if rule.reaches_below(len(s), c) and (below := rule.parts(c - 1)):
+                            probe, e_probe = part_keys(s, mixed, c - 1, below, most)
                     with np.errstate(over="ignore"):
-                        rows.append((len(s), mixed.sum(dtype=U), np.bitwise_xor.reduce(mix(mixed)), own, probe))
-                n, fp1, fp2, own, probe = zip(*rows)
+                        rows.append((len(s), mixed.sum(dtype=U), np.bitwise_xor.reduce(mix(mixed)), c, parts, below, e_own, e_probe, own, probe))
+                n, fp1, fp2, *small, own, probe = zip(*rows)
                 ints = lambda x: pa.array(np.array(x, U).astype(np.int64))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], ints(n), ints(fp1), ints(fp2), _lists(own), _lists(probe)], [c.split()[0] for c in _SIGNED.split(", ")])
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], ints(n), ints(fp1), ints(fp2), *(pa.array(x, pa.int32()) for x in small), _lists(own), _lists(probe)], [c.split()[0] for c in _SIGNED.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(f, _SIGNED)
 
@@ -151,18 +162,17 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn: each node's neighbours are linked to the smallest node next to it, until
     nothing changes; every component is then a star around its smallest node."""
     e = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    sum_ = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+    now = sum_(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.distinct(), "large")
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u")
-        small = small.select("v", "m").where("v != m").unionByName(low.select(F.col("u").alias("v"), "m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = cut(small.distinct(), "edges")
-        changed = new.join(e, ["u", "v"], "left_anti").limit(1).count() or e.join(new, ["u", "v"], "left_anti").limit(1).count()
-        e = new
-        if not changed:
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select("v", "m").where("v != m").unionByName(low.select(F.col("u").alias("v"), "m"))
+        e = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        before, now = now, sum_(e)
+        if before == now:
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
@@ -265,37 +275,52 @@ def _laid_out(docs: DataFrame, members: DataFrame, queries: DataFrame) -> DataFr
     return a.join(docs, "doc_id").select(*[c.split()[0] for c in _ROWS.split(", ")])
 
 
+def _led(listed: DataFrame) -> DataFrame:
+    """key, leader, rows of the keys under which a set of the key's class meets another."""
+    x = listed.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("doc_id"))).alias("leader"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("rows"))
+    return x.where("leader is not null and least != most").select("key", "leader", "rows")
+
+
 def links(docs: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
     """u, v: links between representatives that connect whatever is connected."""
-    reps = cut(marks.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "reps")
-    listed = marks.join(reps, "doc_id", "left_semi").select("doc_id", F.explode(F.concat(F.transform("own", lambda k: F.struct(k.alias("key"), F.lit(True).alias("own"))), F.transform("probe", lambda k: F.struct(k.alias("key"), F.lit(False).alias("own"))))).alias("k"))
-    listed = listed.select(F.col("k.key").alias("key"), "doc_id", F.col("k.own").alias("own"))
-    led = listed.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("doc_id"))).alias("leader"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("rows"))
-    led = cut(led.where("leader is not null and least != most").select("key", "leader", "rows"), "leaders")
-    met = cut(listed.select("key", "doc_id").join(led, "key"), "met")
-
-    # every document with its leaders
-    stars = cut(met.where("doc_id != leader").select("leader", "doc_id").distinct(), "stars")
-    ids = cut(stars.select("doc_id").unionByName(stars.select(F.col("leader").alias("doc_id"))).distinct(), "star-ids")
+    reps = marks.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    reps = cut(marks.join(reps, "doc_id", "left_semi"), "rep-marks")
+    facts = reps.select("doc_id", "n", "class", "parts", "below", "e_own", "e_probe")
+    num, den = rule.num, rule.den
+    listed = reps.select("doc_id", F.explode("own").alias("key"), F.lit(True).alias("own")).unionByName(reps.select("doc_id", F.explode("probe").alias("key"), F.lit(False).alias("own")))
+    met = cut(listed.join(_led(listed).select("key"), "key"), "met-all")
+    # a set that is linked shares as many keys as it has parts, less those that may differ and those that are empty
+    enough = f"k >= if(own, parts, below) - n * {den - num} div {num} - if(own, e_own, e_probe)"
+    enough = met.groupBy("doc_id", "own").agg(F.count("*").alias("k")).join(facts, "doc_id").where(enough).select("doc_id", "own")
+    met = met.join(enough, ["doc_id", "own"], "left_semi")
+    met = cut(met.select("key", "doc_id").join(_led(met), "key"), "met")
+
+    # every document with those of its leaders that share enough keys
+    stars = met.where("doc_id != leader").groupBy("leader", "doc_id").agg(F.count("*").alias("shared"))
+    stars = stars.join(facts.select("doc_id", "n", "class", "e_own", "e_probe"), "doc_id").join(facts.select(F.col("doc_id").alias("leader"), F.col("n").alias("m"), F.col("class").alias("lead_class"), "parts", F.col("e_own").alias("e_lead")), "leader")
+    differ = f"(n + m - 2 * (({num} * (n + m) + {num + den - 1}) div {num + den}))"
+    empty = "least(e_lead, if(class = lead_class, e_own, e_probe))"
+    stars = stars.where(f"{num} * greatest(n, m) <= {den} * least(n, m) and shared >= parts - {differ} - {empty}")
+    stars = cut(stars.select("leader", "doc_id"), "stars")
+    ids = stars.select("doc_id").unionByName(stars.select(F.col("leader").alias("doc_id"))).distinct()
     texts = texts_of(docs, ids)
     subs = stars.groupBy("leader").agg(F.ceil(F.count("*") / MEMBERS).alias("subs"))
-    subs = cut(subs, "star-subs")
     none = F.lit(-1).cast("long")
     asked = stars.join(subs, "leader").select(F.col("leader").alias("g"), F.pmod(F.xxhash64("doc_id"), F.col("subs")).alias("sub"), "doc_id", none.alias("comp"))
     leads = subs.select(F.col("leader").alias("g"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)).alias("sub")).select("g", "sub", F.col("g").alias("doc_id"), (none - 1).alias("comp"))
     first = cut(verify(_laid_out(texts, leads, asked), rule), "links")
 
     # documents that met other components, as queries to groups
-    comp = cut(components(first), "components")
-    comp = cut(ids.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp")), "comp-of")
+    comp = components(first)
+    comp = cut(met.select("doc_id").distinct().join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("comp")), "comp-of")
     more = met.where("rows > 2").join(comp, "doc_id").join(comp.select(F.col("doc_id").alias("leader"), F.col("comp").alias("lead_comp")), "leader")
     more = cut(more.select("key", "doc_id", "leader", "comp", "lead_comp"), "met-comps")
-    mixed = cut(more.where("comp != lead_comp").select("key").distinct(), "mixed")
+    mixed = more.where("comp != lead_comp").select("key").distinct()
     at = more.join(mixed, "key", "left_semi")
     family = cut(at.groupBy("doc_id", "comp").agg(F.min("leader").alias("family")), "families")
     sizes = family.groupBy("family", "comp").agg(F.count("*").alias("size"))
     small = sizes.where(f"size <= {CHUNK}").groupBy("family").agg(F.sum("size").alias("small"))
-    sizes = cut(sizes.join(small, "family", "left"), "family-sizes")
+    sizes = sizes.join(small, "family", "left")
     place = F.when(F.col("size") > CHUNK, F.xxhash64("family", "comp", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / CHUNK)))).otherwise(
         F.xxhash64("family", F.pmod(F.xxhash64("comp"), F.ceil(F.col("small") / CHUNK)))
     )
@@ -303,7 +328,10 @@ def links(docs: DataFrame, marks: DataFrame, rule: Rule) -> DataFrame:
     seen = at.select("key", "doc_id").join(grouped.select("doc_id", "family"), "doc_id").select("key", "family").distinct()
     asks = at.where("comp != lead_comp").select("key", "doc_id", "comp").join(seen, "key").select("doc_id", "comp", "family").distinct()
     zero = F.lit(0).cast("long").alias("sub")
-    units = asks.join(grouped.select("family", "g").distinct(), "family").select("g", zero, "doc_id", "comp").distinct()
+    units = cut(asks.join(grouped.select("family", "g").distinct(), "family").select("g", zero, "doc_id", "comp").distinct(), "units")
+    ids = units.select("doc_id").unionByName(grouped.join(units.select("g").distinct(), "g", "left_semi").select("doc_id")).distinct()
+    grouped = grouped.join(units.select("g").distinct(), "g", "left_semi")
+    texts = texts_of(docs, ids)
     second = verify(_laid_out(texts, grouped.select("g", zero, "doc_id", "comp"), units), rule)
     return first.unionByName(cut(second, "links"))
 
@@ -313,8 +341,8 @@ def join(docs: DataFrame, shingle: int = 3, threshold: tuple[int, int] = (90, 10
 
     n_links counts the links kept with the document's class (those that connect, not all that hold)."""
     rule = Rule(shingle, threshold)
-    marks = cut(signed(docs, rule), "marks")
-    found = cut(links(docs, marks, rule), "all-links")
+    marks = cut(signed(docs, rule), "marks", few=True)
+    found = links(docs, marks, rule)
     comp = components(found).withColumnsRenamed({"node": "rep", "comp": "rep_comp"})
     count = found.select(F.col("u").alias("rep")).unionByName(found.select(F.col("v").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = marks.where("n > 0 and doc_id is not null").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep"))
@@ -343,4 +371,5 @@ def filter_documents(docs: DataFrame, shingle: int = 5, threshold: tuple[int, in
 
 
 def op5(spark, sf_dir):
-    return join(table(spark, sf_dir, "documents"))
+    small_batches(spark)
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
