@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._store import table
+from ._store import small_batches, table
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -168,4 +168,5 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
 
 
 def op10(spark, sf_dir):
+    small_batches(spark)
     return token_counts(table(spark, sf_dir, "documents"))

@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import table
+from ._store import small_batches, table
 from ._text import LOWER, chunks, hashes, spans
 
 BUCKETS = 1 << 18
-SAMPLE = 4096
+SAMPLE = 3000
 THRESHOLD = 0.7
 SENTENCE = 0.5
 EPOCHS = 200
@@ -106,8 +106,9 @@ def train(rows: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, float, floa
     doc = np.repeat(np.arange(len(rows)), [len(r[1]) // 4 for r in rows])
     word, sentence = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows]), np.repeat(np.arange(len(lens)), lens)
     # words weigh something if they are clearly more frequent in toxic documents than in others
-    pair = np.unique(np.stack([word, doc[sentence]]), axis=1)
-    share = [np.bincount(pair[0][y[pair[1]] == k], minlength=BUCKETS) / (y == k).sum() for k in (0, 1)]
+    pair = np.unique(word.astype(np.int64) * len(y) + doc[sentence])
+    share = [np.bincount(pair[y[pair % len(y)] == k] // len(y), minlength=BUCKETS) / (y == k).sum() for k in (0, 1)]
+    del pair
     least = max(LEAST_SHARE, 0.5 / np.sqrt(y.sum()))
     seen = (share[1] - 3 * share[0] >= least)[word]
     word, sentence = word[seen], sentence[seen]
@@ -181,6 +182,7 @@ def _remainder(n: int) -> Column:
 
 def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text the model does not take for toxic."""
+    small_batches(docs.sparkSession)
     model = fit(docs, labels, _remainder(3) != 1)
     weights = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -195,6 +197,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRE
 
 
 def op6(spark, sf_dir):
+    small_batches(spark)
     docs = table(spark, sf_dir, "documents")
     held_out = _remainder(3) == 1
     model = fit(docs, table(spark, sf_dir, "labels"), ~held_out)
