@@ -40,7 +40,25 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def chunks(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def _trimmer():
+    import ctypes
+
+    try:
+        return ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):  # another C library: nothing to give back by hand
+        return lambda _: None
+
+
+_TRIM = _trimmer()
+
+
+def trim() -> None:
+    """Give freed memory back to the machine. Spark keeps idle Python workers, and each would keep its peak."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
+def chunks(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows with about `most` bytes; a longer text is a run of its own.
 
     A null is an empty text."""
@@ -53,6 +71,7 @@ def chunks(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np
         j = min(j, n)
         yield i, j, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         i = j
+    trim()
 
 
 def spans(data: np.ndarray, offsets: np.ndarray, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
