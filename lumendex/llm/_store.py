@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+BATCH_ROWS = 1000
+FILE_BYTES = 32 << 20
+_ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_FEWER = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,14 +33,41 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumendex/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: computed once, and safe against lost executors."""
+def cut(df: DataFrame, name: str, narrow: bool = False, few: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: computed once, and safe against lost executors.
+
+    narrow: a few numbers a document, made by tasks that read whole texts; they are joined to files of a good size.
+    few: a map over texts whose result is a fraction of them; a task takes the place of up to four, for the same reason.
+
+    While it is written, Python gets rows in small batches, small partitions are joined to fewer files, and what the
+    write shuffled goes when it is done: later jobs read the table."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    rows = int(spark.conf.get(_BATCH, "10000"))
+    bytes_ = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    size = max(FILE_BYTES, bytes_(spark.conf.get(_ADVISORY, "64m")))
+    want = {_ADVISORY: f"{size}b", _CLEAN: "true", _FEWER: "false", _BATCH: str(min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)}
+    before = {k: spark.conf.get(k, None) for k in want}
+    if few:
+        parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+        df = df.coalesce(max(1, -(-parts // 4), min(parts, 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        for k, v in want.items():
+            spark.conf.set(k, v)
+        (df.hint("rebalance") if narrow else df).write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most BATCH_ROWS rows between Spark and Python for the session: documents are long rows."""
+    rows = int(spark.conf.get(_BATCH, "10000"))
+    if rows <= 0 or rows > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table that cut() or new_path() made, through Hadoop's file system."""
     jvm = spark.sparkContext._jvm

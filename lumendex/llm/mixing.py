@@ -115,7 +115,7 @@ def _round_groups(level: int):
 def copies(sized: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies; one row a document."""
     spark = sized.sparkSession
-    sized = cut(sized, "mixing-sizes")
+    sized = cut(sized, "mixing-sizes", narrow=True)
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     known = [(r.source, int(r.source_size), int(r.rows)) for r in by_source.collect()]  # one row a source
     goal = targets([(s, n) for s, n, _ in known])

@@ -134,7 +134,7 @@ def measures(docs: DataFrame) -> DataFrame:
     """The narrow table of base columns, written once."""
     x = base_columns(docs.select("doc_id", "lang", "source", "text"))
     x = x.withColumn("text_key", F.xxhash64("text"))
-    return cut(x.drop("text"), "quality")
+    return cut(x.drop("text"), "quality", narrow=True)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:

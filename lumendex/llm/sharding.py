@@ -87,7 +87,7 @@ def place(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: law rows), and the quantised dimensions."""
-    x, n = place(cut(keyed(docs), "sharding-keys"))
+    x, n = place(cut(keyed(docs), "sharding-keys", narrow=True))
     x = x.join(F.broadcast(n), F.lit(True), "left")
     x = x.withColumn("shard", F.expr(f"cast(at * {shards} div all_rows as int)"))
     first = F.expr(f"(shard * all_rows + {shards - 1}) div {shards}")  # the least number whose shard this is
