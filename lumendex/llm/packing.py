@@ -16,8 +16,10 @@ are documents of their own; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import cut, table
+from ._store import cut, small_batches, table
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
@@ -37,7 +39,7 @@ GROUP = 20_000
 FAN = 16
 ROUNDS = 4
 UNDERFULL = 0.995
-REMEMBER = 700_000
+REMEMBER = 1_000_000
 MOST_STEPS = 8
 
 # Latin text: which characters are letters and numbers is the same in every version of Unicode.
@@ -52,11 +54,16 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            parts = json.load(f)
         self.library = Tokenizer.from_file(path)
+        # for words that are already lower-case and cut: the library's merges without its own preparation
+        parts |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": next(p for p in parts["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel")}
+        self.words = Tokenizer.from_str(json.dumps(parts))
         self.known: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text. Words not met before go to the library, those of all texts in one call."""
@@ -68,7 +75,7 @@ class Encoder:
         new = list(distinct.difference(self.known))
         self.known.update(zip(new, self._ids(new)))
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(self._ids([t])) if w else b"".join(map(get, ws)), "<u4") for w, t, ws in zip(whole, texts, words)]
+        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") if w else np.frombuffer(b"".join(map(get, ws)), "<u4") for w, t, ws in zip(whole, texts, words)]
 
 
 @lru_cache(2)
@@ -91,7 +98,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         e = encoder(path or default_path())
         for b in batches:
             text = b.column(1)
-            for i, j, _, _ in chunks(text):
+            for i, j, _, _ in chunks(text, 1 << 22):
                 row, piece, start, length, crc = [], [], [], [], []
                 for k, ids in enumerate(e.encode([t or "" for t in text[i:j].to_pylist()]), i):
                     ids = np.append(ids, np.array([END], "<u4")).astype("<u4")
@@ -219,7 +226,7 @@ def _pack_group(capacity: int, level: int, last: bool, groups: int):
 
 def assign(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces_ with sequence_id and offset."""
-    x = cut(pieces_, "packing-pieces")
+    x = cut(pieces_, "packing-pieces", narrow=True)
     n = x.count()
     groups = max(1, -(-n // GROUP))
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
@@ -246,4 +253,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
 
 
 def op9(spark, sf_dir):
+    small_batches(spark)
     return pack(table(spark, sf_dir, "documents"))
