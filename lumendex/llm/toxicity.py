@@ -6,7 +6,7 @@ enough and length alone never makes a document toxic. The weights are trained fr
 learn which sentences are to blame; the sentences above SENTENCE are returned with their places.
 
 The classifier is fitted on at most SAMPLE labelled documents of each label, those with the smallest hashes of their
-id. Words are runs of letters and digits (and all bytes beyond ASCII), lower-cased, hashed into BUCKETS; labels,
+id. Words are runs of letters and digits (and all bytes beyond ASCII), lower-cased, known by a 64-bit hash; labels,
 language, source and id are never inputs.
 
 Defined results: a null or empty text has one sentence without words and gets the leak as its score; documents
@@ -24,22 +24,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import small_batches, table
-from ._text import LOWER, chunks, hashes, spans
+from ._text import LOWER, chunks, hashes, mix, spans
 
-BUCKETS = 1 << 18
-SAMPLE = 3000
+SAMPLE = 2500
 THRESHOLD = 0.7
 SENTENCE = 0.5
 EPOCHS = 200
 RATE = 0.15
 L2 = 1e-4
 LEAST_SHARE = 0.02
+CLEAN_WEIGHT = 3
 
 _APART = np.ones(256, bool)
 _APART[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
 
+Model = tuple[np.ndarray, np.ndarray, float, float]
 _OUT = "doc_id long, n_sentences long, score double, predicted int, offending array<struct<start:long,end:long,score:double>>"
 
 
@@ -56,15 +57,15 @@ def sentences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(sentence of each distinct word, its bucket, the sentences)."""
+    """(sentence of each distinct word in it, the word's hash, the sentences)."""
     at = sentences(data, offsets)
     low = LOWER[data]
     starts, ends, _ = spans(low, offsets, _APART)
-    bucket = (hashes(low, starts, ends) % np.uint64(BUCKETS)).astype(np.int64)
+    word = hashes(low, starts, ends)
     full = np.flatnonzero(at[1] > at[0])  # words lie in sentences that are not empty
     of = full[np.searchsorted(at[0][full], starts, "right") - 1] if len(starts) else starts
-    both = np.unique(of * BUCKETS + bucket)
-    return both // BUCKETS, both % BUCKETS, at
+    first = np.sort(np.unique(mix(word ^ mix(of.astype(np.uint64))), return_index=True)[1])
+    return of[first], word[first], at
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None, sample: int = SAMPLE) -> list[tuple[int, bytes, bytes]]:
@@ -80,7 +81,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column | None =
         for b in batches:
             label = b.column(0).to_pylist()
             for i, j, data, offsets in chunks(b.column(1)):
-                of, bucket, (_, _, row) = features(data, offsets)
+                of, word, (_, _, row) = features(data, offsets)
                 first = np.searchsorted(row, np.arange(j - i + 1))
                 lens = np.bincount(of, minlength=len(row))
                 words = np.concatenate([[0], np.cumsum(lens)])
@@ -88,7 +89,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column | None =
                     [
                         pa.array(label[i:j], pa.int32()),
                         pa.array([lens[a:z].astype(np.int32).tobytes() for a, z in zip(first, first[1:])], pa.binary()),
-                        pa.array([bucket[words[a] : words[z]].astype(np.int32).tobytes() for a, z in zip(first, first[1:])], pa.binary()),
+                        pa.array([word[words[a] : words[z]].tobytes() for a, z in zip(first, first[1:])], pa.binary()),
                     ],
                     ["y", "lens", "words"],
                 )
@@ -96,30 +97,37 @@ def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column | None =
     return [tuple(r) for r in x.mapInArrow(f, "y int, lens binary, words binary").collect()]
 
 
-def train(rows: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, float, float] | None:
-    """Weights of the buckets, the bias and the leak, by Adam on the noisy-or's cross-entropy, both labels weighing the same."""
+def train(rows: list[tuple[int, bytes, bytes]]) -> Model | None:
+    """Hashes and weights of the words that weigh something, the bias and the leak, by Adam on the noisy-or's cross-entropy, both labels weighing the same."""
     if len({y for y, _, _ in rows}) < 2:
         return None
     rows = sorted(set(rows))  # copies of a document teach once
     y = np.array([r[0] for r in rows], float)
     lens = np.concatenate([np.frombuffer(r[1], np.int32) for r in rows])
     doc = np.repeat(np.arange(len(rows)), [len(r[1]) // 4 for r in rows])
-    word, sentence = np.concatenate([np.frombuffer(r[2], np.int32) for r in rows]), np.repeat(np.arange(len(lens)), lens)
-    # words weigh something if they are clearly more frequent in toxic documents than in others
-    pair = np.unique(word.astype(np.int64) * len(y) + doc[sentence])
-    share = [np.bincount(pair[y[pair % len(y)] == k] // len(y), minlength=BUCKETS) / (y == k).sum() for k in (0, 1)]
-    del pair
+    hash_, word = np.unique(np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]), return_inverse=True)
+    sentence = np.repeat(np.arange(len(lens)), lens)
+    # Words weigh something if clearly more different sentences of toxic documents have them: copies of a sentence, in
+    # whole families of near copies, tell no more of its words than one.
+    full = np.flatnonzero(lens)
+    said = np.zeros(len(lens), np.uint64)
+    if len(full):
+        said[full] = np.add.reduceat(hash_[word], (np.cumsum(lens) - lens)[full])
+    bad = y[doc[sentence]] == 1
+    _, once = np.unique(mix(mix(said[sentence]) ^ hash_[word] + bad.astype(np.uint64)), return_index=True)
+    share = [np.bincount(word[once][bad[once] == k], minlength=len(hash_)) / (y == k).sum() for k in (False, True)]
     least = max(LEAST_SHARE, 0.5 / np.sqrt(y.sum()))
-    seen = (share[1] - 3 * share[0] >= least)[word]
+    seen = (share[1] - CLEAN_WEIGHT * share[0] >= least)[word]
     word, sentence = word[seen], sentence[seen]
     weigh = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
-    model = _descend(y, weigh, doc, word, sentence)
-    strong = (1 / (1 + np.exp(-model[1] - model[0])) >= SENTENCE / 2)[word]  # the rest would only add up in long texts
-    return _descend(y, weigh, doc, word[strong], sentence[strong])
+    words, w, b, _ = _descend(y, weigh, doc, word, sentence)
+    strong = np.isin(word, words[1 / (1 + np.exp(-b - w)) >= SENTENCE / 2])  # the rest would only add up in long texts
+    words, w, b, leak = _descend(y, weigh, doc, word[strong], sentence[strong])
+    return hash_[words], w, b, leak
 
 
-def _descend(y, weigh, doc, word, sentence) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and leak. Only sentences with a word that weighs something are instances."""
+def _descend(y, weigh, doc, word, sentence) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Words, weights, bias and leak. Only sentences with a word that weighs something are instances."""
     words, word = np.unique(word, return_inverse=True)
     said, at = np.unique(sentence, return_inverse=True)
     of = doc[said]
@@ -134,14 +142,12 @@ def _descend(y, weigh, doc, word, sentence) -> tuple[np.ndarray, float, float]:
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8) * min(1.0, 3 * (1 - t / (EPOCHS + 1)))
         w, b, leak = w - step[:-2], b - step[-2], leak - step[-1]
-    out = np.zeros(BUCKETS)
-    out[words] = w
-    return out, float(b), float(leak)
+    return words, w, float(b), float(leak)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float, float] | None, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_sentences, score, predicted, offending (places in bytes of UTF-8, scores) of each row of docs."""
-    weights = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS floats, whatever the corpus
+    weights = docs.sparkSession.sparkContext.broadcast(model)  # at most 1 / LEAST_SHARE words a word of a document: small, whatever the corpus
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -153,15 +159,17 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float, float] | None, thresh
 
 
 def _scored(ids, data, offsets, model, threshold) -> pa.RecordBatch:
-    of, bucket, (start, end, row) = features(data, offsets)
+    of, word, (start, end, row) = features(data, offsets)
     n = len(offsets) - 1
     if model is None:
         p, none = np.zeros(len(row)), np.zeros(n)
     else:
-        weight = model[0][bucket]
-        z = model[1] + np.bincount(of, weight, len(row))
-        z[np.bincount(of, weight != 0, len(row)) == 0] = -np.inf
-        p, none = 1 / (1 + np.exp(-np.clip(z, -700, 700))), np.bincount(row, np.logaddexp(0, z), n) + np.logaddexp(0, model[2])
+        words, weights, bias, leak = model
+        at = np.minimum(np.searchsorted(words, word), max(len(words) - 1, 0))
+        known = words[at] == word if len(words) else np.zeros(len(word), bool)
+        z = bias + np.bincount(of[known], weights[at[known]] if len(words) else None, len(row))
+        z[np.bincount(of[known], minlength=len(row)) == 0] = -np.inf
+        p, none = 1 / (1 + np.exp(-np.clip(z, -700, 700))), np.bincount(row, np.logaddexp(0, z), n) + np.logaddexp(0, leak)
     total = -np.expm1(-none)
     bad = np.flatnonzero((p >= SENTENCE) & (total[row] >= threshold))
     first = np.searchsorted(row[bad], np.arange(n + 1)).astype(np.int32)
@@ -172,7 +180,7 @@ def _scored(ids, data, offsets, model, threshold) -> pa.RecordBatch:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None) -> tuple[np.ndarray, float, float] | None:
+def fit(docs: DataFrame, labels: DataFrame, may_learn: Column | None = None) -> Model | None:
     return train(training_rows(docs, labels, may_learn))
 
 
