@@ -107,15 +107,10 @@ def train(rows: list[tuple[int, bytes, bytes]]) -> Model | None:
     doc = np.repeat(np.arange(len(rows)), [len(r[1]) // 4 for r in rows])
     hash_, word = np.unique(np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]), return_inverse=True)
     sentence = np.repeat(np.arange(len(lens)), lens)
-    # Words weigh something if clearly more different sentences of toxic documents have them: copies of a sentence, in
-    # whole families of near copies, tell no more of its words than one.
-    full = np.flatnonzero(lens)
-    said = np.zeros(len(lens), np.uint64)
-    if len(full):
-        said[full] = np.add.reduceat(hash_[word], (np.cumsum(lens) - lens)[full])
-    bad = y[doc[sentence]] == 1
-    _, once = np.unique(mix(mix(said[sentence]) ^ hash_[word] + bad.astype(np.uint64)), return_index=True)
-    share = [np.bincount(word[once][bad[once] == k], minlength=len(hash_)) / (y == k).sum() for k in (False, True)]
+    # words weigh something if they are clearly more frequent in toxic documents than in others
+    pair = np.unique(word.astype(np.int64) * len(y) + doc[sentence])
+    share = [np.bincount(pair[y[pair % len(y)] == k] // len(y), minlength=len(hash_)) / (y == k).sum() for k in (0, 1)]
+    del pair
     least = max(LEAST_SHARE, 0.5 / np.sqrt(y.sum()))
     seen = (share[1] - CLEAN_WEIGHT * share[0] >= least)[word]
     word, sentence = word[seen], sentence[seen]
