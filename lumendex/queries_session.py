@@ -316,7 +316,7 @@ _FRAG = "list_concat(['H' || left(w, 2), 'T' || right(w, 2)], CASE WHEN length(w
 
 
 @add("spelling_suggestions", PRE + f""", k AS (SELECT term AS w, c AS freq FROM ts WHERE length(term) > 1 AND NOT regexp_matches(term, '[0-9]')),
-q AS (SELECT DISTINCT left(term, 2) || substr(term, 4) AS w FROM ts WHERE n >= 60 AND length(term) >= 5),
+q AS (SELECT DISTINCT left(w, 2) || substr(w, 4) AS w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) WHERE length(w) >= 3),
 a AS (SELECT w, unnest({_FRAG}) AS g FROM q), b AS (SELECT w AS cand, freq, unnest({_FRAG}) AS g FROM k),
 pr AS (SELECT DISTINCT a.w, cand, freq FROM a JOIN b USING (g) WHERE a.w != cand AND abs(length(a.w) - length(cand)) <= 1),
 ok AS (SELECT *, damerau_levenshtein(w, cand) AS dist FROM pr WHERE damerau_levenshtein(w, cand) <= 1),
@@ -325,23 +325,24 @@ SELECT q.w AS word, CASE WHEN coalesce(k.freq, 0) < best.freq THEN cand END AS s
 def _(s, d):
     t = catalog(s, d).termstats
     known = t.where("length(term) > 1 and not term rlike '[0-9]'").select(F.col("term").alias("word"), F.col("collfreq").alias("freq"))
-    asked = t.where("termfreq >= 60 and length(term) >= 5").select(F.expr("concat(left(term, 2), substring(term, 4))").alias("word"))
+    words = table(s, d, "benchmark").select(F.explode(cat.words_of("text")).alias("w")).where("length(w) >= 3")
+    asked = words.select(F.expr("concat(left(w, 2), substring(w, 4))").alias("word")).distinct()
     return spelling.suggestions(known, asked, 1)
 
 
 # ---- clustering, learning to rank, clicks
 
-@add("cluster_points", PRE + """, pg AS (SELECT did FROM d WHERE did <= 40), tp AS (SELECT p.* FROM p JOIN pg USING (did)), tf AS (SELECT term, count(*) AS tf FROM tp GROUP BY term HAVING count(*) > 1 AND count(*) < 40)
+@add("cluster_points", PRE + leaves("thing", "der", "with") + f""", pg AS (SELECT did FROM m GROUP BY did ORDER BY sum({BM25}) DESC, did LIMIT 40), tp AS (SELECT p.* FROM p JOIN pg USING (did)), tf AS (SELECT term, count(*) AS tf FROM tp GROUP BY term HAVING count(*) > 1 AND count(*) < 40)
 SELECT did, term, round((1 + ln(f)) * ln(40.0 / tf), 6) AS w FROM tp JOIN tf USING (term)""")
 def _(s, d):
-    return cluster.points(catalog(s, d), catalog(s, d).documents.where("did <= 40").select("did")).select("did", "term", _r("w").alias("w"))
+    return cluster.points(catalog(s, d), Enquire(catalog(s, d), _OR()).mset(0, 40).select("did")).select("did", "term", _r("w").alias("w"))
 
 
-@add("cluster_distances", PRE + """, pg AS (SELECT did FROM d WHERE did <= 40), tp AS (SELECT p.* FROM p JOIN pg USING (did)), tf AS (SELECT term, count(*) AS tf FROM tp GROUP BY term HAVING count(*) > 1 AND count(*) < 40),
+@add("cluster_distances", PRE + leaves("thing", "der", "with") + f""", pg AS (SELECT did FROM m GROUP BY did ORDER BY sum({BM25}) DESC, did LIMIT 40), tp AS (SELECT p.* FROM p JOIN pg USING (did)), tf AS (SELECT term, count(*) AS tf FROM tp GROUP BY term HAVING count(*) > 1 AND count(*) < 40),
 v AS (SELECT did, term, (1 + ln(f)) * ln(40.0 / tf) AS w FROM tp JOIN tf USING (term)), nm AS (SELECT did, sum(w * w) AS s FROM v GROUP BY did)
 SELECT a.did AS d1, b.did AS d2, round(1 - sum(a.w * b.w) / sqrt(any_value(x.s) * any_value(y.s)), 6) AS distance FROM v a JOIN v b ON a.term = b.term AND a.did < b.did JOIN nm x ON x.did = a.did JOIN nm y ON y.did = b.did GROUP BY a.did, b.did""")
 def _(s, d):
-    p = cluster.points(catalog(s, d), catalog(s, d).documents.where("did <= 40").select("did"))
+    p = cluster.points(catalog(s, d), Enquire(catalog(s, d), _OR()).mset(0, 40).select("did"))
     return cluster.cosine_distances(p).select("d1", "d2", _r("distance").alias("distance"))
 
 
