@@ -160,7 +160,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
         c = counter(path or default_path())
         for b in batches:
             text = b.column(1)
-            for i, j, _, offsets in chunks(text):
+            for i, j, _, offsets in chunks(text, 1 << 22):
                 n = np.array(c.count([t or "" for t in text[i:j].to_pylist()]), np.int64)
                 yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
