@@ -35,6 +35,7 @@ HOT = 1 << 17
 PRIOR = 1000.0
 BYTE = 1e-5 / 256
 CELLS = 1 << 18
+WORDS = 40_000
 _MARK = "▁"
 _WS = "' \\t\\n\\u000b\\u000c\\r'"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -106,6 +107,20 @@ def _lse(x: np.ndarray) -> np.ndarray:
         return np.log(np.exp(x - safe).sum(0)) + safe
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = WORDS) -> Iterator[pa.RecordBatch]:
+    """Batches of about `rows` rows: the recursion runs over many words of a length at a time."""
+    held, n = [], 0
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            held.append(b.slice(i, rows))
+            n += held[-1].num_rows
+            if n >= rows:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def forward(v: Vocabulary, words: list[str], logp: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Natural log of each word's probability, over all segmentations; and, for counts, each piece's expected count.
 
@@ -167,10 +182,8 @@ def fit(words: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> tupl
 
         def f(batches: Iterator[pa.RecordBatch], logp=logp) -> Iterator[pa.RecordBatch]:
             v, sums = vocabulary(path or default_path()), 0.0
-            for b in batches:
-                for i in range(0, b.num_rows, 20_000):
-                    part = b.slice(i, 20_000)
-                    sums = sums + forward(v, part.column(0).to_pylist(), logp, part.column(1).to_numpy().astype(float))[1]
+            for part in gathered(batches):
+                sums = sums + forward(v, part.column(0).to_pylist(), logp, part.column(1).to_numpy().astype(float))[1]
             ids = np.flatnonzero(sums)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(np.atleast_1d(sums)[ids], pa.float64())], ["piece", "e"])
 
@@ -189,18 +202,16 @@ def word_values(words: DataFrame, model: tuple[np.ndarray, float], train_tokens:
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, (logp, end) = vocabulary(path or default_path()), sent.value
-        for b in batches:
-            for i in range(0, b.num_rows, 20_000):
-                part = b.slice(i, 20_000)
-                text = part.column(0).to_pylist()
-                lm = forward(v, text, logp)[0]
-                lm[[w == "" for w in text]] = end
-                raw = [w.encode() for w in text]
-                ends = np.cumsum([len(r) for r in raw])
-                key = hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]), ends).astype(np.int64)
-                c = part.column(1).to_numpy().astype(float)
-                base = np.log10((c + 0.5) / (train_tokens + 0.5 * (train_distinct + 1)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key), part.column(1), part.column(2), pa.array(base), pa.array(lm / math.log(10))], ["word", "key", "c", "n", "base", "lm"])
+        for part in gathered(batches):
+            text = part.column(0).to_pylist()
+            lm = forward(v, text, logp)[0]
+            lm[[w == "" for w in text]] = end
+            raw = [w.encode() for w in text]
+            ends = np.cumsum([len(r) for r in raw])
+            key = hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]), ends).astype(np.int64)
+            c = part.column(1).to_numpy().astype(float)
+            base = np.log10((c + 0.5) / (train_tokens + 0.5 * (train_distinct + 1)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(key), part.column(1), part.column(2), pa.array(base), pa.array(lm / math.log(10))], ["word", "key", "c", "n", "base", "lm"])
 
     return words.select("word", "c", "n").mapInArrow(f, "word string, key long, c long, n long, base double, lm double")
 
