@@ -23,13 +23,23 @@ def fragments(word: Column) -> Column:
     return F.array_distinct(F.concat(ends, short, F.when(n >= 3, runs).otherwise(F.array().cast("array<string>"))))
 
 
+def asked_fragments(word: Column) -> Column:
+    """Those of an asked word: its own, and of words of two and three those of its swapped forms."""
+    n = F.length(word)
+    a, b, c = (F.substring(word, i, 1) for i in (1, 2, 3))
+    two = F.array(F.concat(F.lit("H"), b, a), F.concat(F.lit("T"), b, a))
+    three = F.array(F.concat(F.lit("M"), b, a, c), F.concat(F.lit("M"), a, c, b))
+    swapped = F.when(n == 2, two).when(n == 3, three).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(fragments(word), swapped))
+
+
 def suggestions(spelling: DataFrame, words: DataFrame, max_edit: int = 2) -> DataFrame:
     """word, suggestion for each of words (word): least edits, then most frequent, then first by bytes; null without one.
 
-    Candidates share a fragment; a word that is itself more frequent than its candidates needs none."""
+    Candidates share a fragment with the word or, if that has two or three letters, with a swap of it; a word that is itself more frequent than its candidates needs none."""
     known = spelling.select("word", "freq").withColumn("frag", F.explode(fragments(F.col("word")))).select(F.col("word").alias("cand"), "freq", "frag")
     asked = words.select("word").distinct().where("length(word) > 1")
-    pairs = asked.withColumn("frag", F.explode(fragments(F.col("word")))).join(known, "frag").select("word", "cand", "freq").distinct()
+    pairs = asked.withColumn("frag", F.explode(asked_fragments(F.col("word")))).join(known, "frag").select("word", "cand", "freq").distinct()
     most = F.least(F.lit(max_edit), F.length("word") - 1)
     pairs = pairs.where((F.abs(F.length("word") - F.length("cand")) <= most) & (F.col("cand") != F.col("word")))
     pairs = pairs.withColumn("d", _osa("word", "cand", most)).where(F.col("d") <= most)
