@@ -40,7 +40,6 @@ FAN = 16
 ROUNDS = 4
 UNDERFULL = 0.995
 REMEMBER = 1_000_000
-MOST_STEPS = 8
 
 # Latin text: which characters are letters and numbers is the same in every version of Unicode.
 _LETTER = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u017f"
@@ -134,72 +133,75 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, underfull: float = UNDERFULL) -> list[list[int]]:
-    """Moves and exchanges between underfull bins, each of which raises the sum of squared fills.
+    """Moves and exchanges between underfull bins, each of which raises the sum of squared fills, until none is left.
 
-    For a fuller bin with room r and an emptier one, an exchange must bring the fuller one 1 to r tokens more: a move
-    brings a piece; one for one a longer piece for a shorter; two for one two pieces for one. Pieces of the emptiest bins are tried against the
-    others, found by length, so that the emptiest run empty."""
+    Pieces of n tokens in all leave a bin with room r for another, and a piece of m < n comes back, or none (m = 0): a
+    move, one for one, two for one. This raises the sum if the other bin has n to n + r - 1 tokens free without the piece
+    of m. So bins are listed by that, for each of their lengths and for 0, and the tightest partner is looked up among
+    all. The emptiest bins come first, so that they run empty."""
     size = lengths.tolist()
     low = int(capacity * underfull)
     full = [b for b in bins if sum(size[i] for i in b) >= low]
     open_ = [b for b in bins if sum(size[i] for i in b) < low]
     fill = [sum(size[i] for i in b) for b in open_]
-    for _ in range(MOST_STEPS):
+    free: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # (m, bin) by what the bin has free without m
+    least = np.full(capacity + 1, capacity + 1)  # the least m of each
+
+    def list_(b: int) -> None:
+        for m in {0, *(size[i] for i in open_[b])} if open_[b] else ():
+            at = capacity - fill[b] + m
+            insort(free[at], (m, b))
+            least[at] = free[at][0][0]
+
+    def unlist(b: int) -> None:
+        for m in {0, *(size[i] for i in open_[b])} if open_[b] else ():
+            at = capacity - fill[b] + m
+            del free[at][bisect_left(free[at], (m, b))]
+            least[at] = free[at][0][0] if free[at] else capacity + 1
+
+    def step(b: int) -> bool:
+        """An exchange for a bin that is not listed itself."""
+        room = capacity - fill[b]
+        mine = {size[i]: i for i in open_[b]}
+        order = sorted(mine, reverse=True)
+
+        def swap(n: int, out: list[int], below: int) -> bool:
+            fits = least[n : n + room] < below
+            at = int(fits.argmax())
+            if not fits[at]:
+                return False
+            m, t = free[n + at][0]
+            unlist(t)
+            back = [next(j for j in open_[t] if size[j] == m)] if m else []
+            for x, y, some in ((b, t, out), (t, b, back)):
+                for i in some:
+                    open_[x].remove(i)
+                    open_[y].append(i)
+            fill[t] += n - m
+            fill[b] -= n - m
+            list_(t)
+            return True
+
+        if any(swap(n, [mine[n]], 1) for n in order) or any(swap(n, [mine[n]], n) for n in order):
+            return True
+        pairs = {}
+        for x, n in enumerate(order):
+            twin = next((i for i in open_[b] if size[i] == n and i != mine[n]), None)
+            pairs.update({n + k: [mine[n], mine[k]] for k in order[x + 1 :]})
+            if twin is not None:
+                pairs[2 * n] = [mine[n], twin]
+        return any(swap(n, out, n) for n, out in pairs.items())
+
+    for b in range(len(open_)):
+        list_(b)
+    changed = True
+    while changed:
         changed = False
-        order = sorted(range(len(open_)), key=fill.__getitem__)
-        by_length: dict[int, set[tuple[int, int]]] = {}
-        for b in order:
-            for i in open_[b]:
-                by_length.setdefault(size[i], set()).add((b, i))
-        rooms: dict[int, set[int]] = {}
-        for b in order:
-            rooms.setdefault(capacity - fill[b], set()).add(b)
-        room_list = sorted(rooms)
-        length_list = sorted(by_length)
-
-        def put(b: int, out: list[int], into: list[int]) -> None:
-            rooms[capacity - fill[b]].discard(b)
-            for i in out:
-                open_[b].remove(i)
-                by_length[size[i]].discard((b, i))
-            for i in into:
-                open_[b].append(i)
-                by_length[size[i]].add((b, i))
-            fill[b] += sum(size[i] for i in into) - sum(size[i] for i in out)
-            r = capacity - fill[b]
-            if r not in rooms:
-                rooms[r] = set()
-                insort(room_list, r)
-            rooms[r].add(b)
-
-        def step(b: int) -> bool:
-            mine = sorted(open_[b], key=size.__getitem__, reverse=True)
-            for i in mine:  # a move, to the fullest bin that holds it
-                at = bisect_left(room_list, size[i])
-                for r in room_list[at : at + 32]:
-                    t = next((t for t in rooms[r] if t != b and fill[t] + size[i] > fill[b]), None)
-                    if t is not None:
-                        put(b, [i], []), put(t, [], [i])
-                        return True
-            groups = [[i] for i in mine] + [[mine[x], mine[y]] for x in range(min(len(mine), 12)) for y in range(x + 1, min(len(mine), 12))]
-            for out in groups:  # one, or two, for a shorter one of a fuller bin
-                n = sum(size[i] for i in out)
-                at = bisect_left(length_list, n)
-                for m in length_list[max(0, at - 48) : at][::-1]:
-                    for t, j in list(by_length[m])[:16]:
-                        if t != b and fill[t] >= fill[b] - (n - m) and fill[t] + n - m <= capacity and fill[t] + n - m > fill[b]:
-                            put(b, out, []), put(t, [j], out), put(b, [], [j])
-                            return True
-            return False
-
-        for b in order:
-            for _ in range(64):
-                if not open_[b] or fill[b] >= low or not step(b):
-                    break
+        for b in sorted(range(len(open_)), key=fill.__getitem__):
+            unlist(b)
+            while open_[b] and fill[b] < low and step(b):
                 changed = True
-        if not changed:
-            break
-        open_, fill = [b for b in open_ if b], [f for b, f in zip(open_, fill) if b]
+            list_(b)
     return full + [b for b in open_ if b]
 
 
