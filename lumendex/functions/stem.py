@@ -100,7 +100,7 @@ _WHOLE = {
     "skis": "ski", "skies": "sky", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news",
     "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes",
 }
-_LEAVE = ("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed")
+_LEAVE = ("inning", "outing", "canning", "herring", "earring", "evening", "proceed", "exceed", "succeed")
 _ENGLISH_2 = {
     "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize", "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al",
     "aliti": "al", "alli": "al", "fulness": "ful", "ousli": "ous", "ousness": "ous", "iveness": "ive", "iviti": "ive", "biliti": "ble", "bli": "ble", "ogi": "og", "fulli": "ful",
@@ -119,7 +119,7 @@ def _after_vowel_consonant(w: str, start: int = 0) -> int:
 
 
 def _short_syllable(w: str) -> bool:
-    if w == "past":
+    if w.endswith("past"):
         return True
     if len(w) == 2:
         return w[0] in _V and w[1] not in _V
@@ -129,11 +129,11 @@ def _short_syllable(w: str) -> bool:
 def english(w: str) -> str:
     if len(w) <= 2:
         return w
-    w = w.removeprefix("'")
     if w in _WHOLE:
         return _WHOLE[w]
+    w = w.removeprefix("'")
     w = "".join("Y" if c == "y" and (i == 0 or w[i - 1] in "aeiou") else c for i, c in enumerate(w))
-    head = next((len(p) for p in ("gener", "commun", "arsen", "univers", "later", "emerg", "organ") if w.startswith(p)), 0)
+    head = next((len(p) for p in ("gener", "commun", "arsen", "past", "univers", "later", "emerg", "organ", "inter") if w.startswith(p)), 0)
     r1 = head or _after_vowel_consonant(w)
     r2 = _after_vowel_consonant(w, r1) if r1 < len(w) else len(w)
     for end in ("'s'", "'s", "'"):
