@@ -20,6 +20,7 @@ the response's id are responses; an empty table gives no file.
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
 from collections.abc import Iterator
 
@@ -204,7 +205,9 @@ _BACK = "page_id long, payload_bytes long, payload_digest string, record_type st
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record in the folder, read by the bundles' seek tables and maps."""
+    """A row for each record in the folder, read by the bundles' seek tables and maps.
+
+    A response's length and digest are those of the payload as decoded; a revisit has none and gives its headers'."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ident = lambda s: int(s[10:-1]) if s and s[10:-1] not in ("", "None") else None
@@ -218,8 +221,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                         at, content = k, z.frame(k)
                     h, block, _ = parse(content, offset)
                     kind = h["WARC-Type"]
-                    size = len(block) - block.index(b"\r\n\r\n") - 4 if kind == "response" else int(h["X-Payload-Length"])
-                    rows.append((ident(h["WARC-Record-ID"]), size, h["WARC-Payload-Digest"][5:], kind, ident(h.get("WARC-Refers-To")), name, k, offset))
+                    size, digest = int(h["X-Payload-Length"]), h["WARC-Payload-Digest"][5:]
+                    if kind == "response":
+                        payload = block[block.index(b"\r\n\r\n") + 4 :]
+                        size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    rows.append((ident(h["WARC-Record-ID"]), size, digest, kind, ident(h.get("WARC-Refers-To")), name, k, offset))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
     return _files(spark, path).select("path", "content").mapInArrow(f, _BACK)
