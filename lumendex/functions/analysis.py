@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stem import ALIASES, stem
+from .stopwords import STOPWORDS  # noqa: F401
 
 MAX_WORD = 64
 _WORD_CATEGORIES = {"Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Me", "Mc", "Nd", "Nl", "No", "Pc"}
@@ -29,13 +30,6 @@ SUFFIXES = "+#"
 # Scripts written without spaces, as ranges of code points.
 _UNSPACED = ((0x1100, 0x11FF), (0x2E80, 0x2FFF), (0x3040, 0x33FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA960, 0xA97F), (0xAC00, 0xD7FF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF65, 0xFFDC), (0x20000, 0x323AF), (0x0E00, 0x0EFF), (0x1780, 0x17FF), (0x1000, 0x109F))
 
-STOPWORDS = {
-    "english": "a about an and are as at be by en for from how i in is it of on or that the this to was what when where which who why will with you your".split(),
-    "german": "aber als am an auch auf aus bei bin bis das dass dem den der des die doch du ein eine einem einen einer er es für hat ich ihr im in ist ja mit nach nicht noch nur ob oder sich sie sind so über um und uns von war was wenn wie wir zu zum zur".split(),
-    "french": "au aux avec ce ces dans de des du elle en est et eux il ils je la le les leur lui ma mais me mes mon ne nos notre nous on ou par pas pour qu que qui sa se ses son sur ta te tes toi ton tu un une vos votre vous".split(),
-    "spanish": "a al como con de del desde donde el ella en entre era es esta este fue ha hay la las le lo los más me mi muy no nos o para pero por que se si sin sobre son su sus también te un una y ya yo".split(),
-}
-
 
 def is_wordchar(c: str) -> bool:
     return unicodedata.category(c) in _WORD_CATEGORIES
