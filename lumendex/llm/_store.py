@@ -58,7 +58,9 @@ def cut(df: DataFrame, name: str, narrow: bool = False, few: bool = False) -> Da
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -68,12 +70,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
 
 
-def drop(spark: SparkSession, path: str) -> None:
-    """Delete a table that cut() or new_path() made, through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder that cut() or new_path() made, through Hadoop's file system."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables of cut() whose readers have all been written; other DataFrames are left alone."""
+    for df in tables:
+        if path := df.__dict__.pop("_cut_path", None):
+            delete(df.sparkSession, path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,24 +7,23 @@ the fractions of groups are paired in the same way, FAN groups at a time, up a t
 drawn. Pairs are made in the order of size, so what is left open is a short document, and the words that the copies
 take are those of the target up to part of its few.
 
-Groups are made by a hash of doc_id and have about GROUP documents whatever their source's share, and random numbers
-come from hashes of the rows, so reruns agree whatever the partitions. Only (doc_id, source, size) is shuffled.
-
-Defined results: a null text has size 0 and is never taken (its copies take no words); null sources are one source,
-the last; repeated rows are documents of their own; a null doc_id is a document like others; an empty table gives an
-empty result; a source without words has the target 0.
+Groups are made by a hash of doc_id and have about GROUP documents whatever their source's share; a group that is far
+longer (rows repeated under one id) is dealt again by the rows' places in the table of sizes. Random numbers come from
+hashes of the rows, so reruns agree whatever the partitions. Only (doc_id, source, size) is shuffled. The targets of
+sources are found by sums over the table of sources, which may be long: it stays distributed.
+
+Defined results: a null text has size 0 and is never taken (its copies take no words), texts of any length count whole;
+null sources are one source, the last; repeated rows are documents of their own, as are rows of equal size (ties go by a
+hash); a null doc_id is a document like others; an empty table gives an empty result; a source without words has the
+target 0; columns of docs of any name are only carried.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ._store import cut, table
 
@@ -33,32 +32,43 @@ SHARE = 1.5
 MOST = 2.0
 GROUP = 10_000
 FAN = 64
+HOT = 1 << 16
 SEED = 17
 _WS = "' \\t\\n\\u000b\\u000c\\r'"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the whole text)."""
-    words = F.expr(f"size(array_remove(split(translate(coalesce(text, ''), {_WS}, '      '), ' '), ''))")
-    return docs.select("doc_id", "source", words.cast("long").alias("size"))
+_WORDS = f"cast(size(array_remove(split(translate(coalesce(text, ''), {_WS}, '      '), ' '), '')) as long)"
+
 
+def sizes(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, source, size (words of the whole text), and the columns to carry."""
+    return docs.select("doc_id", "source", F.expr(_WORDS).alias("size"), *carry)
 
-def targets(sizes_by_source: list[tuple[str | None, int]], weights=WEIGHTS, share=SHARE, most=MOST) -> dict[str | None, float]:
-    """Words to take from each source: by weight, none above `most` times its own size, the excess dealt again."""
-    order = sorted(sizes_by_source, key=lambda x: (x[0] is None, x[0] or ""))
-    weight = {s: weights[i % len(weights)] for i, (s, _) in enumerate(order)}
-    cap = {s: most * n for s, n in order}
-    left, open_, out = share * sum(n for _, n in order), [s for s, _ in order], {}
-    while open_:
-        total = sum(weight[s] for s in open_)
-        full = [s for s in open_ if left * weight[s] / total > cap[s]]
-        if not full:
-            return out | {s: left * weight[s] / total for s in open_}
-        for s in full:
-            out[s] = cap[s]
-        left -= sum(cap[s] for s in full)
-        open_ = [s for s in open_ if s not in full]
-    return out
+
+def targets(by_source: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST) -> DataFrame:
+    """by_source (source, source_size, ...) with target: words to take, by weight, none above `most` times the source's size, the excess dealt again.
+
+    Sources are numbered by ranges of their names. Each is given its weight times one level or its most, and the level is
+    raised until the sum is right: every round is one sum over the sources, and closes those that are full."""
+    order = [F.col("source").isNull(), F.col("source")]
+    x = cut(by_source.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "mixing-sources")
+    ranges = x.groupBy("range").agg(F.count("*").alias("n"))
+    ranges = ranges.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))  # a row a partition
+    x = x.join(F.broadcast(ranges), "range").withColumn("place", F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy(*order)) - 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
+    x = cut(x.withColumns({"weight": weight, "cap": F.col("source_size") * F.lit(float(most))}).drop("range", "before", "place"), "mixing-weights")
+    all_ = float(x.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, full = 0.0, -1
+    while True:
+        r = x.agg(F.sum(F.when(F.col("weight") * level > F.col("cap"), F.col("cap"))).alias("cap"), F.sum(F.when(F.col("weight") * level <= F.col("cap"), F.col("weight"))).alias("weight"), F.sum((F.col("weight") * level > F.col("cap")).cast("int")).alias("full")).first()
+        if (r.full or 0) == full:
+            break
+        full = r.full or 0
+        if not r.weight:
+            level = float("inf")
+            break
+        level = (all_ - (r.cap or 0.0)) / r.weight
+    return x.withColumn("target", F.least("cap", F.col("weight") * level)).drop("weight", "cap")
 
 
 def pair(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int]:
@@ -97,13 +107,15 @@ def _uniform(key: np.ndarray, salt: int) -> np.ndarray:
     return (mix(key.astype(np.uint64) ^ np.uint64(salt * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)).astype(float) / 2.0**53
 
 
-_SCHEMA = "doc_id long, source string, size long, source_size long, target double, pick long, grp long, p double, open boolean"
+_NAMES = ["doc_id", "source", "size", "source_size", "target", "pick", "grp", "p", "open"]
 
 
 def _round_groups(level: int):
     def f(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "pick", "doc_id"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        p, at = pair(pdf["p"].to_numpy(float).copy(), pdf["size"].to_numpy(float), _uniform(pdf["pick"].to_numpy(), SEED + level))
+        pick = pdf["pick"].to_numpy(np.uint64)
+        nth = np.arange(len(pick)) - np.searchsorted(-pdf["size"].to_numpy(), -pdf["size"].to_numpy())  # equal rows draw apart
+        p, at = pair(pdf["p"].to_numpy(float).copy(), pdf["size"].to_numpy(float), _uniform(pick + nth.astype(np.uint64), SEED + level))
         pdf["p"], pdf["open"] = p, False
         if at >= 0:
             pdf.loc[at, "open"] = True
@@ -112,54 +124,62 @@ def _round_groups(level: int):
     return f
 
 
+def _with_targets(sized: DataFrame) -> DataFrame:
+    """sized with source_size, target and groups. Of many sources the HOT with most rows are broadcast; no other is in more than one row in HOT."""
+    side = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))), "mixing-targets")
+    side = side.select(F.col("source").alias("__s"), "source_size", "target", F.ceil(F.col("rows") / GROUP).alias("groups"))
+    on = sized["source"].eqNullSafe(F.col("__s"))
+    if side.count() <= HOT:
+        return sized.join(F.broadcast(side), on).drop("__s")
+    top = F.broadcast(side.orderBy(F.desc("groups"), "__s").limit(HOT))
+    found = sized.join(top, on, "left")
+    is_top = F.col("groups").isNotNull()
+    rest = found.where(~is_top).select(*sized.columns)
+    return found.where(is_top).drop("__s").unionByName(rest.join(side, rest["source"].eqNullSafe(side["__s"])).drop("__s"))
+
+
 def copies(sized: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies; one row a document."""
-    spark = sized.sparkSession
+    """sized (doc_id, source, size, and what it carries) with source_size, target, copies; one row a document."""
+    more = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
     sized = cut(sized, "mixing-sizes", narrow=True)
-    by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
-    known = [(r.source, int(r.source_size), int(r.rows)) for r in by_source.collect()]  # one row a source
-    goal = targets([(s, n) for s, n, _ in known])
-    schema = T.StructType([T.StructField("__s", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("groups", T.LongType())])
-    side = spark.createDataFrame([(s, n, float(goal[s]), math.ceil(r / GROUP)) for s, n, r in known], schema)
-    x = sized.join(side, sized["source"].eqNullSafe(side["__s"])).drop("__s")
-    pick = F.xxhash64(F.lit(SEED), "doc_id", "size", F.coalesce("source", F.lit("\0")))
+    x = _with_targets(sized)
+    pick = F.xxhash64(F.lit(SEED), "doc_id", "size", F.coalesce("source", F.lit("\0")), F.col("source").isNull())
     x = x.withColumn("pick", pick).withColumn("grp", F.pmod("pick", F.greatest("groups", F.lit(1))))
+    # groups much longer than a hash of unlike rows makes them; any beyond the HOT longest holds less than one row in HOT
+    hot = x.groupBy("source", "grp").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * GROUP).orderBy(F.desc("rows"), "source", "grp").limit(HOT)
+    hot = cut(hot.select(F.col("source").alias("__s"), F.col("grp").alias("__g"), F.ceil(F.col("rows") / GROUP).alias("parts")), "mixing-hot")
+    most_parts = hot.agg(F.max("parts")).first()[0] or 1
+    if most_parts > 1:
+        x = x.join(F.broadcast(hot), x["source"].eqNullSafe(hot["__s"]) & (x["grp"] == hot["__g"]), "left")
+        x = x.withColumn("grp", F.col("grp") * most_parts + F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1)))).drop("__s", "__g", "parts")
     x = x.withColumn("rate", F.expr("if(source_size = 0, 0D, target / source_size)"))
-    x = x.withColumn("whole", F.when(F.col("size") == 0, 0).otherwise(F.floor("rate")).cast("long"))
     x = x.withColumn("p", F.when(F.col("size") == 0, 0.0).otherwise(F.col("rate") - F.floor("rate")))
-    names = [c.split()[0] for c in _SCHEMA.split(", ")]
-    open_ = x.withColumn("open", F.lit(True)).select(*names)
-    done, most, level = [], max([1, *(math.ceil(r / GROUP) for *_, r in known)]), 0
+    most, level = (x.agg(F.max("groups")).first()[0] or 1) * most_parts, 0
+    open_ = x.withColumn("open", F.lit(True)).select(*_NAMES, *more)
+    done = []
     while True:
-        out = cut(open_.groupBy("source", "grp").applyInPandas(_round_groups(level), _SCHEMA), f"mixing-{level}")
+        out = cut(open_.groupBy("source", "grp").applyInPandas(_round_groups(level), open_.schema), f"mixing-{level}")
         done.append(out.where(~F.col("open")))
         rest = out.where("open")
         if most == 1:
             break
-        most, level = math.ceil(most / FAN), level + 1
+        most, level = -(-most // FAN), level + 1
         open_ = rest.withColumn("grp", F.expr(f"grp div {FAN}"))
     last = rest.withColumn("p", F.when(F.expr(f"pmod(xxhash64(pick, {SEED}L), 1000000007) / 1000000007D") < F.col("p"), 1.0).otherwise(0.0))
     out = done[0]
     for d in [*done[1:], last]:
         out = out.unionByName(d)
     whole = F.expr("if(source_size = 0 or size = 0, 0L, cast(floor(target / source_size) as long))")
-    return out.select("doc_id", "source", "size", "source_size", "target", (whole + F.round("p").cast("long")).alias("copies"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (whole + F.round("p").cast("long")).alias("copies"), *more)
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """Each row of docs as many times as the mix takes it. Rows alike in id, source and size share their copies."""
-    from pyspark.sql import Window
-
-    alike = Window.partitionBy("__i", "__s", "__n")
-    sized = sizes(docs)
-    key = lambda: (F.coalesce("doc_id", F.lit(-1)).alias("__i"), F.coalesce("source", F.lit("\0")).alias("__s"), F.col("size").alias("__n"))
-    taken = copies(sized).select(*key(), "copies").groupBy("__i", "__s", "__n").agg(F.sum("copies").alias("__c"), F.count("*").alias("__rows"))
-    words = F.expr(f"cast(size(array_remove(split(translate(coalesce(text, ''), {_WS}, '      '), ' '), '')) as long)")
-    x = docs.withColumns({"__i": F.coalesce("doc_id", F.lit(-1)), "__s": F.coalesce("source", F.lit("\0")), "__n": words})
-    x = x.join(taken.where("__c > 0"), ["__i", "__s", "__n"])
-    x = x.withColumn("__k", F.row_number().over(alike.orderBy(F.xxhash64("text"), "lang")))
-    n = F.expr("cast(__c div __rows + if(__k <= __c % __rows, 1, 0) as int)")
-    return x.withColumn("__times", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+    """Each row of docs as many times as the mix takes it.
+
+    Rows are written once with a number of their own, by which the copies come back, so rows that are alike in all else don't meet."""
+    x = cut(docs.select(F.monotonically_increasing_id().alias("number"), "doc_id", "source", "text", F.struct(*docs.columns).alias("row")), "mixing-rows")
+    taken = copies(sizes(x, "number")).where("copies > 0").select("number", F.col("copies").cast("int"))
+    return x.select("number", "row").join(taken, "number").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op8(spark, sf_dir):

@@ -2,40 +2,32 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import sharding
 
 _WORDS = r"list_filter(string_split_regex(t, '[ \t\n\x0b\x0c\r]+'), lambda x: x != '')"
 _SPACES = r"regexp_replace(t, '[ \t\n\x0b\x0c\r]+', '', 'g')"
 
 
-def op1() -> str:
-    measure = {k: e.replace(" div ", " // ") for k, (e, _, _) in quality.MEASURES.items()}
-    zero = {k: e.split(" // ")[1] for k, e in measure.items()}
-    value = {k: f"(CASE WHEN {zero[k]} = 0 THEN 0 ELSE {e} END)" for k, e in measure.items()}
-    long = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {v} AS v FROM b WHERE NOT base_failed" for k, v in value.items())
-    limits = ", ".join(
-        f"max(CASE WHEN measure = '{k}' THEN q3 + greatest({quality.FENCE} * (q3 - q1), {float(slack)}) END) AS hi_{k}, max(CASE WHEN measure = '{k}' THEN {f'q1 - greatest({quality.FENCE} * (q3 - q1), {float(slack)})' if both else '-1.0'} END) AS lo_{k}"
-        for k, (_, slack, both) in quality.MEASURES.items()
-    )
-    names = [f"{s}_{k}" for k in quality.MEASURES for s in ("lo", "hi")]
-    pick = ", ".join(f"CASE lev WHEN 2 THEN f.{n} WHEN 1 THEN l.{n} ELSE a.{n} END AS {n}" for n in names)
-    inside = " AND ".join(f"coalesce({value[k]} >= lo_{k} AND {value[k]} <= hi_{k}, true)" for k in quality.MEASURES)
-    lev = f"CASE WHEN f.group_rows >= {quality.MIN_GROUP} THEN 2 WHEN l.group_rows >= {quality.MIN_GROUP} THEN 1 WHEN a.group_rows IS NOT NULL THEN 0 END"
-    return rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
+# written without the operator's constants, so that a mistake in those shows
+OP1 = rf"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 x AS (SELECT *, {_WORDS} AS ws, list_filter(string_split(t, chr(10)), lambda s: regexp_matches(s, '[^ \t\n\x0b\x0c\r]')) AS ls FROM d),
 tri AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM x)),
 rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS k FROM tri) WHERE k > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
-b0 AS (SELECT x.doc_id, lang, source, len(ws) AS n_words, length({_SPACES}) AS word_chars, length(t) - length(translate(t, '{quality.SYMBOLS}', '')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM x LEFT JOIN cov USING (doc_id)),
-b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b0),
-v AS ({long}),
-bins AS (SELECT lang, source, measure, CAST(CASE WHEN v <= 0 THEN 0 ELSE 1 + floor(ln(v) * {quality.BINS_PER_E}) END AS INTEGER) AS bin FROM v),
-sk AS (SELECT 2 AS level, lang, source, measure, bin, count(*) AS n FROM bins GROUP BY ALL UNION ALL SELECT 1, lang, NULL, measure, bin, count(*) FROM bins GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, measure, bin, count(*) FROM bins GROUP BY ALL),
-up AS (SELECT *, sum(n) OVER (w ORDER BY bin) AS cum, sum(n) OVER w AS al, CASE WHEN bin = 0 THEN 0 ELSE exp((bin - 0.5) / {quality.BINS_PER_E}) END AS val FROM sk WINDOW w AS (PARTITION BY level, lang, source, measure)),
-q AS (SELECT level, lang, source, measure, min(CASE WHEN cum >= ceil(al * 0.25) THEN val END) AS q1, min(CASE WHEN cum >= ceil(al * 0.75) THEN val END) AS q3, max(al) AS rows_ FROM up GROUP BY ALL),
-th AS (SELECT level, lang, source, max(rows_) AS group_rows, {limits} FROM q GROUP BY ALL),
-j AS (SELECT b.*, {lev} AS lev, {pick} FROM b LEFT JOIN (SELECT * FROM th WHERE level = 2) f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source LEFT JOIN (SELECT * FROM th WHERE level = 1) l ON b.lang IS NOT DISTINCT FROM l.lang LEFT JOIN (SELECT * FROM th WHERE level = 0) a ON true)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept, CAST(lev AS INTEGER) AS threshold_level FROM j"""
+b0 AS (SELECT x.doc_id, lang, source, len(ws) AS n_words, length({_SPACES}) AS word_chars, length(t) - length(translate(t, '#*$%&|<>', '')) AS n_symbols, len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words FROM x LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ coalesce(1000 * word_chars // nullif(n_words, 0), 0) AS m1, coalesce(10000 * n_symbols // nullif(word_chars, 0), 0) AS m2, coalesce(10000 * n_dup_lines // nullif(n_lines, 0), 0) AS m3, coalesce(10000 * n_repeat_words // nullif(n_words, 0), 0) AS m4,
+ coalesce(1000000 // nullif(word_chars, 0), 0) AS u2, coalesce(1000000 // nullif(n_lines, 0), 0) AS u3, coalesce(6000000 // nullif(n_words, 0), 0) AS u4 FROM b0),
+v AS (SELECT lang, source, unnest(['m1', 'm2', 'm3', 'm4', 'u2', 'u3', 'u4']) AS m, unnest([m1, m2, m3, m4, u2, u3, u4]) AS v FROM b WHERE NOT base_failed),
+bins AS (SELECT lang, source, m, CAST(CASE WHEN v <= 0 THEN 0 ELSE 1 + floor(ln(v) * 100) END AS INTEGER) AS bin FROM v),
+sk AS (SELECT 2 AS level, lang, source, m, bin, count(*) AS n FROM bins GROUP BY ALL UNION ALL SELECT 1, lang, NULL, m, bin, count(*) FROM bins GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, m, bin, count(*) FROM bins GROUP BY ALL),
+up AS (SELECT *, sum(n) OVER (w ORDER BY bin) AS cum, sum(n) OVER w AS al FROM sk WINDOW w AS (PARTITION BY level, lang, source, m)),
+q0 AS (SELECT level, lang, source, m, min(bin) FILTER (cum >= ceil(al / 4)) AS b1, min(bin) FILTER (cum >= ceil(al / 2)) AS b2, min(bin) FILTER (cum >= ceil(al * 0.75)) AS b3, max(al) AS rows_ FROM up GROUP BY ALL),
+q AS (SELECT *, CASE WHEN b1 = 0 THEN 0 ELSE exp((b1 - 1) / 100) END AS q1, CASE WHEN b2 = 0 THEN 0 ELSE exp((b2 - 0.5) / 100) END AS q2, CASE WHEN b3 = 0 THEN 0 ELSE exp(b3 / 100) END AS q3 FROM q0),
+w AS (SELECT level, lang, source, max(rows_) AS n, {", ".join(f"max(q1) FILTER (m = 'm{k}') AS a{k}, max(q3) FILTER (m = 'm{k}') AS c{k}, max(q2) FILTER (m = 'u{k}') AS e{k}" for k in (1, 2, 3, 4))} FROM q GROUP BY ALL),
+th AS (SELECT level, lang, source, n, a1 - 3 * (c1 - a1) AS lo1, c1 + 3 * (c1 - a1) AS hi1, {", ".join(f"c{k} + greatest(3 * (c{k} - a{k}), e{k} / 5) AS hi{k}" for k in (2, 3, 4))} FROM w),
+j AS (SELECT b.*, th.level AS lev, lo1, hi1, hi2, hi3, hi4 FROM b LEFT JOIN th ON level = 0 OR (n >= 100 AND b.lang IS NOT DISTINCT FROM th.lang AND (level = 1 OR b.source IS NOT DISTINCT FROM th.source)) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY level DESC) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(m1 >= lo1 AND m1 <= hi1 AND m2 <= hi2 AND m3 <= hi3 AND m4 <= hi4, true) AS kept, CAST(lev AS INTEGER) AS threshold_level FROM j"""
 
 
 def crc32_sql(text: str) -> str:
@@ -51,14 +43,17 @@ def crc32_sql(text: str) -> str:
 
 
 def op2() -> str:
-    n, run = sharding.SHARDS, sharding.RUN
-    hexit = lambda c: f"CAST('0x' || substr(md5(coalesce({c}, '')), 1, 1) AS INTEGER)"
-    return f"""WITH k AS (SELECT doc_id, lang, source, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32 FROM documents),
-q AS (SELECT *, {hexit('lang')} AS q_lang, {hexit('source')} AS q_source, CAST(greatest(0, least(15, 2 * length(bin(size)) + CASE WHEN size < 2 THEN 0 ELSE (size >> (length(bin(size)) - 2)) & 1 END - 12)) AS INTEGER) AS q_size FROM k),
+    """The curve alone is the operator's: that it visits every cell and steps to a neighbour is tested apart."""
+    code = lambda t, v: f"coalesce((SELECT r FROM {t} WHERE v = {v} AND r < 12), 12 + {crc32_sql(v)} % 4)"
+    top = lambda c: f"SELECT {c} AS v, row_number() OVER (ORDER BY count(*) DESC, {c}) - 1 AS r FROM k GROUP BY {c}"
+    return f"""WITH k AS MATERIALIZED (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, {crc32_sql("coalesce(text, '')")} AS text_crc32 FROM documents),
+lt AS ({top('lang')}), st AS ({top('source')}), lc AS (SELECT v AS lang, {code('lt', 'lc0.v')} AS q_lang FROM lt lc0), sc AS (SELECT v AS source, {code('st', 'sc0.v')} AS q_source FROM st sc0),
+zb AS (SELECT floor(ln(size) * 20) AS bin, count(*) AS n FROM k GROUP BY 1), zc AS (SELECT bin, CAST(16 * (sum(n) OVER (ORDER BY bin) - n) // sum(n) OVER () AS INTEGER) AS q_size FROM zb),
+q AS (SELECT k.*, CAST(q_lang AS INTEGER) AS q_lang, CAST(q_source AS INTEGER) AS q_source, q_size FROM k JOIN lc USING (lang) JOIN sc USING (source) JOIN zc ON zc.bin = floor(ln(k.size) * 20)),
 h AS (SELECT *, {sharding.curve()}[q_lang * 256 + q_source * 16 + q_size + 1] AS hilbert FROM q),
-c AS (SELECT *, ceil(count(*) OVER (PARTITION BY hilbert) / {run}.0) AS runs FROM h),
+c AS (SELECT *, ceil(count(*) OVER (PARTITION BY hilbert) / 4096.0) AS runs FROM h),
 r AS (SELECT *, row_number() OVER (ORDER BY hilbert, CASE WHEN runs = 1 THEN 0 ELSE {crc32_sql("CAST(doc_id AS VARCHAR)")} % CAST(runs AS BIGINT) END, text_crc32, doc_id) - 1 AS place, count(*) OVER () AS n FROM c)
-SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * {n} // n AS INTEGER) AS shard, place - ((place * {n} // n) * n + {n - 1}) // {n} AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(hilbert AS INTEGER) AS hilbert, q_lang, q_source, q_size FROM r"""
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 16 // n AS INTEGER) AS shard, place - ((place * 16 // n) * n + 15) // 16 AS slot, CAST(NULL AS INTEGER) AS grown_shard, CAST(hilbert AS INTEGER) AS hilbert, q_lang, q_source, q_size FROM r"""
 
 
 OP4 = """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), g AS (SELECT *, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS best FROM p)
@@ -73,4 +68,4 @@ l AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM s a JOIN s b ON a.g
 reach AS (SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT l.v, reach.seen FROM reach JOIN l ON l.u = reach.node)
 SELECT n.doc_id, n.n AS n_shingles, min(reach.seen) AS component_id FROM n JOIN reach ON reach.node = n.doc_id GROUP BY n.doc_id, n.n"""
 
-ORACLE_SQL = {"op1_quality_rules": op1(), "op2_sharding": op2(), "op4_warc": OP4, "op5_ngram_jaccard": OP5}
+ORACLE_SQL = {"op1_quality_rules": OP1, "op2_sharding": op2(), "op4_warc": OP4, "op5_ngram_jaccard": OP5}

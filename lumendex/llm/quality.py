@@ -1,34 +1,45 @@
 """Quality rules with thresholds taken from the corpus itself.
 
 Every document gets a few integer measures. For each language and source, a mergeable quantile sketch of each
-measure (counts of logarithmic bins, so that two sketches merge by adding counts; the relative error of a quantile is
-half a bin, about 2.5%) gives the quartiles, and the fence beyond them is the threshold of that group. Groups of fewer
-than MIN_GROUP documents use the merged sketch of their language, languages as small as that the sketch of all.
+measure (counts of logarithmic bins, so that two sketches merge by adding counts; ranks are exact, and a bin's edges, 1% apart,
+bound the quantile in it) gives the quartiles, the outer edge of either's bin, and the fence beyond them is the group's
+threshold:
+
+* word length: FENCE interquartile ranges beyond either quartile;
+* shares of symbols, repeated lines and repeated words: the third quartile plus FENCE interquartile ranges, or what COUNTS
+  chance events make of a document of the group's median length if that is more. That length is a quantile of the same
+  sketches (of the share that one event makes), so no limit is a number fixed beforehand, and where most documents have
+  none of a thing, as with symbols, the limit follows their lengths.
+
+Groups of fewer than MIN_GROUP documents use the merged sketch of their language, languages as small as that the sketch
+of all. Thresholds are joined with the rows by language and source; rows are not known by ids.
 
 Native throughout: no Python runs on the executors.
 
 Defined results: a null text has no words and fails the base rules; null languages and sources are groups of their
-own; repeated rows are each judged; an empty table gives an empty result; other columns are carried where asked for
-and names that clash with the measures are not used.
+own; repeated rows are each judged; texts of any length are measured whole, in one row's memory; an empty table gives an
+empty result; columns of docs beyond doc_id, text, lang and source may have any names: filter_documents carries them, the
+measures don't see them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import cut
 
 SYMBOLS = "#*$%&|<>"
-BINS_PER_E = 20
+BINS_PER_E = 100
 MIN_GROUP = 100
 FENCE = 3.0
-#: measure: (expression over the base columns, least slack beyond the quartile, both sides)
+COUNTS = 20
+#: measure: (expression over the base columns, that of one event's share in millionths or None: both sides are fenced)
 MEASURES = {
-    "word_len": ("(1000 * word_chars) div n_words", 2000, True),
-    "symbols": ("(10000 * n_symbols) div word_chars", 300, False),
-    "dup_lines": ("(10000 * n_dup_lines) div n_lines", 5000, False),
-    "repeats": ("(10000 * n_repeat_words) div n_words", 3500, False),
+    "word_len": ("(1000 * word_chars) div n_words", None),
+    "symbols": ("(10000 * n_symbols) div word_chars", "1000000 div word_chars"),
+    "dup_lines": ("(10000 * n_dup_lines) div n_lines", "1000000 div n_lines"),
+    "repeats": ("(10000 * n_repeat_words) div n_words", "6000000 div n_words"),  # a window and its copy are six words
 }
 _WS = "' \\t\\n\\u000b\\u000c\\r'"
 
@@ -71,70 +82,69 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
+def _value(e: str) -> Column:
+    return F.expr(f"if({e.split(' div ')[1]} = 0, 0L, {e})")
+
+
 def sketches(measured: DataFrame) -> DataFrame:
     """(level, lang, source, measure, bin, n): counts of bins for each group, each language and all rows together.
 
     Rows that fail the base rules don't shape the thresholds. Level 2 is lang and source, 1 lang, 0 all."""
-    long = measured.where(~base_failed()).select(
-        "lang",
-        "source",
-        F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), F.expr(f"if({e[0].split(' div ')[1]} = 0, 0L, {e[0]})").alias("v")) for k, e in MEASURES.items()])).alias("m"),
-    )
+    parts = {k: e for k, (e, _) in MEASURES.items()} | {f"unit_{k}": u for k, (_, u) in MEASURES.items() if u}
+    long = measured.where(~base_failed()).select("lang", "source", F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), _value(e).alias("v")) for k, e in parts.items()])).alias("m"))
     bins = F.when(F.col("m.v") <= 0, 0).otherwise(1 + F.floor(F.log(F.col("m.v").cast("double")) * BINS_PER_E)).cast("int")
     fine = long.select("lang", "source", F.col("m.measure").alias("measure"), bins.alias("bin")).groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
     merged = lambda level, lang, source: fine.select(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source"), "measure", "bin", "n")
     null = F.lit(None).cast("string")
-    parts = [merged(2, F.col("lang"), F.col("source")), merged(1, F.col("lang"), null), merged(0, null, null)]
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = merged(2, F.col("lang"), F.col("source")).unionByName(merged(1, F.col("lang"), null)).unionByName(merged(0, null, null))
     return out.groupBy("level", "lang", "source", "measure", "bin").agg(F.sum("n").alias("n"))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(level, lang, source, group_rows, lo_<m>, hi_<m>): one row for each sketched group."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("level", "lang", "source", "measure")
     up = sketch.withColumn("cum", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w))
-    value = F.when(F.col("bin") == 0, 0.0).otherwise(F.exp((F.col("bin") - 0.5) / BINS_PER_E))
-    at = lambda q: F.min(F.when(F.col("cum") >= F.ceil(F.col("all") * q), value))
-    q = up.groupBy("level", "lang", "source", "measure").agg(at(0.25).alias("q1"), at(0.75).alias("q3"), F.max("all").alias("rows"))
+    at = lambda q, part: F.min(F.when(F.col("cum") >= F.ceil(F.col("all") * q), F.when(F.col("bin") == 0, 0.0).otherwise(F.exp((F.col("bin") - part) / BINS_PER_E))))
+    q = up.groupBy("level", "lang", "source", "measure").agg(at(0.25, 1.0).alias("q1"), at(0.5, 0.5).alias("q2"), at(0.75, 0.0).alias("q3"), F.max("all").alias("rows"))
+    of = lambda name, column: F.max(F.when(F.col("measure") == name, F.col(column))).alias(f"{column}_{name}")
+    wide = q.groupBy("level", "lang", "source").agg(
+        F.max("rows").alias("group_rows"), *[of(k, c) for k in MEASURES for c in ("q1", "q3")], *[of(f"unit_{k}", "q2") for k, (_, u) in MEASURES.items() if u]
+    )
     out = []
-    for k, (_, slack, both) in MEASURES.items():
-        reach = F.greatest(FENCE * (F.col("q3") - F.col("q1")), F.lit(float(slack)))
-        out.append(F.max(F.when(F.col("measure") == k, F.col("q3") + reach)).alias(f"hi_{k}"))
-        out.append(F.max(F.when(F.col("measure") == k, (F.col("q1") - reach) if both else F.lit(-1.0))).alias(f"lo_{k}"))
-    return q.groupBy("level", "lang", "source").agg(F.max("rows").alias("group_rows"), *out)
+    for k, (_, unit) in MEASURES.items():
+        reach = f"{FENCE}D * (q3_{k} - q1_{k})"
+        reach = f"greatest({reach}, {COUNTS} * q2_unit_{k} / 100)" if unit else reach
+        out += [F.expr(f"q3_{k} + {reach}").alias(f"hi_{k}"), F.lit(-1.0).alias(f"lo_{k}") if unit else F.expr(f"q1_{k} - {reach}").alias(f"lo_{k}")]
+    return wide.select("level", "lang", "source", "group_rows", *out)
 
 
 def judge(measured: DataFrame) -> DataFrame:
     """measured with base_failed, threshold_level and kept.
 
     The thresholds of the two upper levels hold one row a language and one row in all; those of the lowest level have
-    one row for each language and source and are joined by whatever way their size calls for."""
+    one row for each language and source of MIN_GROUP rows and are joined by whatever way their size calls for."""
     t = cut(thresholds(sketches(measured)), "thresholds")
     names = [f"{s}_{k}" for k in MEASURES for s in ("lo", "hi")]
     x = measured.withColumn("base_failed", base_failed())
     for level, keys in ((2, ["lang", "source"]), (1, ["lang"]), (0, [])):
-        side = t.where(F.col("level") == level).select(*[F.col(k).alias(f"__{k}{level}") for k in keys], *[F.col(n).alias(f"__{level}{n}") for n in ["group_rows", *names]])
+        side = t.where((F.col("level") == level) & (F.col("group_rows") >= (MIN_GROUP if level else 0)))
+        side = side.select(*[F.col(k).alias(f"__{k}{level}") for k in keys], *[F.col(n).alias(f"__{level}{n}") for n in ["group_rows", *names]])
         on = F.lit(True)
         for k in keys:
             on = on & F.col(k).eqNullSafe(F.col(f"__{k}{level}"))
         x = x.join(side, on, "left") if keys else x.join(F.broadcast(side.limit(1)), on, "left")
-    level = F.when(F.col("__2group_rows") >= MIN_GROUP, 2).when(F.col("__1group_rows") >= MIN_GROUP, 1).when(F.col("__0group_rows").isNotNull(), 0)
+    level = F.when(F.col("__2group_rows").isNotNull(), 2).when(F.col("__1group_rows").isNotNull(), 1).when(F.col("__0group_rows").isNotNull(), 0)
     x = x.withColumn("threshold_level", level)
     ok = ~F.col("base_failed")
-    for k, (e, _, _) in MEASURES.items():
+    for k, (e, _) in MEASURES.items():
         lo, hi = (F.when(F.col("threshold_level") == 2, F.col(f"__2{s}_{k}")).when(F.col("threshold_level") == 1, F.col(f"__1{s}_{k}")).otherwise(F.col(f"__0{s}_{k}")) for s in ("lo", "hi"))
-        v = F.expr(f"if({e.split(' div ')[1]} = 0, 0L, {e})")
-        ok = ok & F.coalesce((v >= lo) & (v <= hi), F.lit(True))
+        ok = ok & F.coalesce((_value(e) >= lo) & (_value(e) <= hi), F.lit(True))
     return x.withColumn("kept", ok).select(*measured.columns, "base_failed", "kept", "threshold_level")
 
 
 def measures(docs: DataFrame) -> DataFrame:
     """The narrow table of base columns, written once."""
-    x = base_columns(docs.select("doc_id", "lang", "source", "text"))
-    x = x.withColumn("text_key", F.xxhash64("text"))
-    return cut(x.drop("text"), "quality", narrow=True)
+    return cut(base_columns(docs.select("doc_id", "lang", "source", "text")).drop("text"), "quality", narrow=True)
 
 
 def quality_rules(docs: DataFrame) -> DataFrame:
@@ -143,10 +153,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 
 def filter_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with docs' columns."""
-    good = judge(measures(docs)).where("kept").select(F.coalesce("doc_id", F.lit(-1)).alias("__i"), F.col("text_key").alias("__k"), F.col("lang").alias("__lang"), F.col("source").alias("__source")).distinct()
-    on = (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("__i")) & (F.xxhash64(docs["text"]) == F.col("__k")) & docs["lang"].eqNullSafe(F.col("__lang")) & docs["source"].eqNullSafe(F.col("__source"))
-    return docs.join(good, on, "left_semi")
+    """The documents that the rules keep, with docs' columns. Rows are written once with their measures; the thresholds are
+    joined with these, so no text is shuffled while the thresholds are few."""
+    x = base_columns(docs.select("lang", "source", "text", F.struct(*docs.columns).alias("row"))).drop("text")
+    return judge(cut(x, "quality-rows")).where("kept").select("row.*")
 
 
 def op1(spark, sf_dir):

@@ -41,6 +41,26 @@ def test_quality_thresholds(docs):
     assert kept.columns == docs(clean[:1]).columns and kept.count() == len(clean)
 
 
+def test_groups_have_their_own_limits(docs):
+    """Equal documents are judged by what is usual in their group, and every limit follows the group's sketch."""
+    text = lambda i, k, n: " ".join(("w" * k) + str((i * 7 + j * 13) % 997) for j in range(n))
+    short, long = [(i, text(i, 1, 120 + i % 9), "en", "a") for i in range(200)], [(500 + i, text(i, 9, 400 + i % 9), "en", "b") for i in range(200)]
+    odd = [(1000, text(1, 9, 120), "en", "a"), (1001, text(1, 9, 120), "en", "b"), (1002, text(3, 1, 300), "en", "b")]
+    m = quality.measures(docs(short + long + odd))
+    t = {r.source: r for r in quality.thresholds(quality.sketches(m)).where("level = 2").collect()}
+    assert all(t["a"][f"hi_{k}"] != t["b"][f"hi_{k}"] for k in ("word_len", "symbols", "repeats"))
+    rows = {r.doc_id: r.kept for r in quality.judge(m).collect()}
+    assert (rows[1000], rows[1001], rows[1002]) == (False, True, False) and all(rows[i] for i, *_ in short + long)
+
+
+def test_quality_filter_carries_what_it_finds(spark):
+    """Columns named like measures, null and repeated ids: rows are judged and carried, not looked up."""
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, text, "en", "a", 1, "x"), (-1, "too short", "en", "a", 2, "y"), (None, "too short", "en", "a", 3, "z"), (-1, text, None, None, 4, "u"), (-1, text, None, None, 4, "u")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words int, kept string")
+    assert sorted(quality.filter_documents(df).collect(), key=str) == sorted((r for r in df.collect() if r.text == text), key=str)
+
+
 def test_sketch_merges(docs):
     rows = [(i, " ".join("abcdefgh"[: 1 + (i + k) % 8] + str(k) for k in range(60)), "en", "ab"[i % 2]) for i in range(80)]
     sk = quality.sketches(quality.measures(docs(rows))).collect()
@@ -62,7 +82,8 @@ def test_hilbert_neighbours():
 
 def test_sharding_laws(odd, docs, monkeypatch):
     many = docs([(i, "t" * (i * i % 300), ["en", "de", None][i % 3], f"s{i % 5}" if i % 4 else "hot") for i in range(500)])
-    for df, run in ((odd, 4096), (many, 4096), (many, 16)):
+    same = docs([(7, "t", "en", "a")] * 900 + [(None, "u", "en", "a")] * 300)
+    for df, run in ((odd, 4096), (many, 4096), (many, 16), (same, 16)):
         monkeypatch.setattr(sharding, "RUN", run)
         rows = sharding.assign(df).collect()
         assert len(rows) == df.count()
@@ -76,20 +97,79 @@ def test_sharding_laws(odd, docs, monkeypatch):
         assert {(r.doc_id, r.size, r.text_crc32) for r in rows} == text
 
 
+def test_repeated_rows_are_dealt_to_short_runs(docs, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 50)
+    keys = sharding.keyed(docs([(7, "t", "en", "a")] * 3000 + [(i, "t", "en", "a") for i in range(500)]))
+    x, _ = sharding.place(keys)
+    assert x.groupBy("h", "run", "part").count().agg({"count": "max"}).first()[0] <= 150
+    assert sorted(r["at"] for r in x.collect()) == list(range(3500))
+
+
 def test_sharding_files(docs, spark, tmp_path):
     df = docs([(i, "t" * (i % 90), ["en", "de"][i % 2], f"s{i % 3}") for i in range(200)])
     sharding.write_shards(df, f"{tmp_path}/s")
     assert sorted(spark.read.parquet(f"{tmp_path}/s").select(*df.columns).collect()) == sorted(df.collect())
+    own = df.withColumnRenamed("size", "Shard")
+    sharding.write_shards(own, f"{tmp_path}/t", 4)
+    assert sorted(spark.read.parquet(f"{tmp_path}/t").select(*own.columns).collect()) == sorted(own.collect())
+    assert sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/t").groupBy("shard_").count().select("count").collect()) == [50] * 4
     m = sharding.manifest(sharding.assign(df))
     keep = {r.shard for r in sharding.prune(m, lang="de", sizes=(10, 20)).collect()}
     hit = {r.shard for r in sharding.assign(df).where("lang = 'de' and size between 10 and 20").collect()}
     assert hit <= keep
 
 
-def test_targets():
-    t = mixing.targets([("b", 100), (None, 100), ("a", 100), ("c", 100)])
-    assert sum(t.values()) == pytest.approx(600) and all(v <= 200 + 1e-9 for v in t.values())
-    assert mixing.targets([("a", 10), ("b", 1000)])["a"] == 20
+def plain_targets(sizes, weights=(5, 2, 1)):
+    """By the rule as it is stated: excess goes round by weight until no source is above twice its size."""
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    out, left, open_ = {}, 1.5 * sum(sizes.values()), set(order)
+    while open_:
+        total = sum(weight[s] for s in open_)
+        full = {s for s in open_ if left * weight[s] / total > 2 * sizes[s]}
+        if not full:
+            return out | {s: left * weight[s] / total for s in open_}
+        out |= {s: 2 * sizes[s] for s in full}
+        left, open_ = left - sum(2 * sizes[s] for s in full), open_ - full
+    return out
+
+
+def targets(spark, sizes):
+    return {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+
+
+@pytest.mark.parametrize("sizes", [{"b": 100, None: 100, "a": 100, "c": 100}, {"a": 10, "b": 1000}, {"a": 0, "z": 7, "Z": 50, "\u00e9": 3, None: 900}, {f"s{i}": (i * 37) % 91 for i in range(60)}])
+def test_targets(spark, sizes):
+    got, want = targets(spark, sizes), plain_targets(sizes)
+    assert got.keys() == want.keys() and all(got[s] == pytest.approx(want[s]) for s in want)
+
+
+def test_mixing_query_against_plain_python(spark, sf):
+    """Sizes, sources, targets and bounds of the registered query recomputed from the texts."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    size = {r.doc_id: len([w for w in SPLIT.split(r.text or "") if w]) for r in docs}
+    by = Counter()
+    for r in docs:
+        by[r.source] += size[r.doc_id]
+    goal, source = plain_targets(by), {r.doc_id: r.source for r in docs}
+    rows, taken = mixing.op8(spark, sf).collect(), Counter()
+    assert sorted(r.doc_id for r in rows) == sorted(size)
+    for r in rows:
+        assert (r.size, r.source_size) == (size[r.doc_id], by[source[r.doc_id]]) and r.target == pytest.approx(goal[source[r.doc_id]])
+        assert 0 <= r.taken <= 2 * r.size and (not r.size or r.taken % r.size == 0)
+        taken[source[r.doc_id]] += r.taken
+    assert all(abs(taken[s] - goal[s]) <= max(v for i, v in size.items() if source[i] == s) for s in goal)
+
+
+def test_mixing_repeated_rows(spark, monkeypatch):
+    """Equal rows without end are dealt to groups of bounded size, and each is taken or not for itself."""
+    monkeypatch.setattr(mixing, "GROUP", 500)
+    df = spark.range(20_000).selectExpr("7L as doc_id", "'a' as source", "3L as size").unionByName(spark.range(4000).selectExpr("id + 10 as doc_id", "if(id % 2 = 0, 'a', 'b') as source", "1 + id % 50 as size"))
+    rows = mixing.copies(df)
+    real = {r.source: (r.taken, r.target) for r in rows.groupBy("source").agg({"target": "max", "size": "sum"}).withColumnRenamed("max(target)", "target").join(rows.selectExpr("source", "size * copies as t").groupBy("source").sum("t").withColumnRenamed("sum(t)", "taken"), "source").collect()}
+    assert rows.count() == 24_000 and all(abs(t - g) <= 50 for t, g in real.values())
+    plans = rows.where("doc_id = 7").groupBy("copies").count().collect()
+    assert len(plans) == 2  # some are taken once more than others
 
 
 def test_mixing(odd, docs):
@@ -103,7 +183,9 @@ def test_mixing(odd, docs):
         taken[r.source] += r.copies * r.size
         goal[r.source] = r.target
     assert all(abs(taken[s] - goal[s]) <= 37 for s in goal), (taken, goal)
+    many = many.withColumnRenamed("size", "number")
     out = mixing.mix_documents(many)
+    assert out.columns == many.columns and {"x"} == {r.number for r in out.select("number").distinct().collect()}
     assert out.columns == many.columns and out.count() == sum(c for i, c in a)
 
 
