@@ -1,17 +1,20 @@
 """Packing token pieces into sequences of at most CAPACITY tokens: best fit, then swap-based local search.
 
-Documents are tokenised once; only (doc_id, copy, piece, length, crc) goes further. Pieces are dealt by a hash into
-groups of about GROUP. In each group the pieces, longest first, go to the fullest sequence that still holds them; then
-the local search takes the underfull sequences and exchanges one piece for one, two for one, or moves a piece whenever
-that raises the sum of squared fills, so that full ones get fuller and the emptiest run empty. Sequences that are still
-underfull give their pieces to a next round, which packs those of many groups together, until one group is left. Every
-group is bounded, whatever share of the rows a source or a length has.
+Documents are tokenised once; only (doc_id, piece, start, length, crc) goes further. Pieces are dealt by a hash into
+groups of about GROUP; a group that is far longer (repeated rows) is dealt again by the rows' places in the table. In
+each group the pieces, longest first, go to the fullest sequence that still holds them; then the local search takes the
+underfull sequences and exchanges one piece for one, two for one, or moves a piece whenever that raises the sum of squared
+fills, so that full ones get fuller and the emptiest run empty. The emptiest sequences, of GROUP / FAN pieces at most, give
+their pieces to a next round, which packs those of FAN groups together, until one group is left. So every group is
+bounded, whatever share of the rows a source or a length has, and though no sequence of it may be full.
 
 Ids are those of the library. Words met before come from a table in the worker; a text with special strings, or with
 characters beyond the ranges whose classes are certain, goes to the library whole.
 
-Defined results: a null text counts as empty; an empty text is one piece, its end id 0; repeated rows and repeated ids
-are documents of their own; an empty table gives an empty result.
+Defined results: a null text counts as empty; an empty text is one piece, its end id 0; a text of any length is
+tokenised whole and cut into pieces; repeated rows and repeated ids are documents of their own; pieces of equal length
+take whichever place comes first, one is as good as another; columns of docs of any name don't matter; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,7 +40,8 @@ CAPACITY = 2048
 END = 0
 GROUP = 20_000
 FAN = 16
-ROUNDS = 4
+LEVELS = 64
+HOT = 1 << 16
 UNDERFULL = 0.995
 REMEMBER = 1_000_000
 
@@ -89,7 +93,7 @@ def default_path() -> str:
 
 
 def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, copy (tells apart the pieces of equal rows' documents)."""
+    """doc_id, piece, start, length, ids_crc32."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from ._text import chunks
@@ -214,12 +218,19 @@ def _pack_group(capacity: int, level: int, last: bool, groups: int):
         lengths = pdf["length"].to_numpy(np.int64)
         bins = local_search(best_fit(lengths, capacity), lengths, capacity)
         low, grp = int(capacity * UNDERFULL), int(pdf["grp"].iloc[0])
+        # the emptiest go on, as many as keep the next level's groups as short as this one's
+        goes, left = set(), GROUP // FAN
+        for k in sorted((k for k, b in enumerate(bins) if lengths[b].sum() < low), key=lambda k: lengths[bins[k]].sum()):
+            left -= len(bins[k])
+            if last or left < 0:
+                break
+            goes.add(k)
         sequence, offset, final = np.empty(len(pdf), np.int64), np.empty(len(pdf), np.int64), np.ones(len(pdf), bool)
         for k, b in enumerate(bins):
             n = lengths[b]
-            sequence[b] = (k * groups + grp) * (ROUNDS + 1) + level
+            sequence[b] = (k * groups + grp) * LEVELS + level
             offset[b] = np.cumsum(n) - n
-            final[b] = last or n.sum() >= low
+            final[b] = k not in goes
         pdf["sequence_id"], pdf["offset"], pdf["final"] = sequence, offset, final
         return pdf
 
@@ -232,11 +243,18 @@ def assign(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     n = x.count()
     groups = max(1, -(-n // GROUP))
     names = [c.split()[0] for c in _SCHEMA.split(", ")]
+    x = x.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
+    # groups much longer than a hash of unlike rows makes them; any beyond the HOT longest holds less than one row in HOT
+    hot = x.groupBy("grp").agg(F.count("*").alias("rows")).where(F.col("rows") > 2 * GROUP).orderBy(F.desc("rows"), "grp").limit(HOT)
+    hot = cut(hot.select("grp", F.ceil(F.col("rows") / GROUP).alias("parts")), "packing-hot")
+    if parts := hot.agg(F.max("parts")).first()[0]:
+        x = x.join(F.broadcast(hot), "grp", "left").withColumn("grp", F.col("grp") * parts + F.pmod(F.monotonically_increasing_id(), F.coalesce("parts", F.lit(1))))
+        groups *= parts
     empty = lambda d: d.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long"), "final": F.lit(False)})
-    x = empty(x.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))).select(*names)
+    x = empty(x).select(*names)
     done, level = [], 0
     while True:
-        last = groups == 1 or level == ROUNDS
+        last = groups == 1
         packed = cut(x.groupBy("grp").applyInPandas(_pack_group(capacity, level, last, groups), _SCHEMA), f"packing-{level}")
         done.append(packed.where("final"))
         if last:

@@ -6,10 +6,11 @@ enough and length alone never makes a document toxic. The weights are trained fr
 learn which sentences are to blame; the sentences above SENTENCE are returned with their places.
 
 The classifier is fitted on at most SAMPLE labelled documents of each label, those with the smallest hashes of their
-id. Words are runs of letters and digits (and all bytes beyond ASCII), lower-cased, known by a 64-bit hash; labels,
+id, while their texts are SAMPLE_BYTES in all; of an id with several texts one teaches. Words are runs of letters and digits (and all bytes beyond ASCII), lower-cased, known by a 64-bit hash; labels,
 language, source and id are never inputs.
 
-Defined results: a null or empty text has one sentence without words and gets the leak as its score; documents
+Defined results: texts of any length are scored whole; columns of docs of any name are only carried, those beyond text
+are no input; ties of a score don't matter. A null or empty text has one sentence without words and gets the leak as its score; documents
 labelled twice count as toxic if either label says so; null labels teach nothing; without labels of both kinds every
 score is 0; repeated rows get equal scores; an empty table gives an empty result.
 """
@@ -20,13 +21,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._store import small_batches, table
 from ._text import LOWER, chunks, hashes, mix, spans
 
 SAMPLE = 2500
+SAMPLE_BYTES = 32 << 20
 THRESHOLD = 0.7
 SENTENCE = 0.5
 EPOCHS = 200
@@ -75,7 +77,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, may_learn: Column | None =
         y = y.where(may_learn)
     order = (F.xxhash64("doc_id"), "doc_id")
     y = y.where("__y = 1").orderBy(*order).limit(sample).unionByName(y.where("__y = 0").orderBy(*order).limit(sample))
-    x = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select("__y", "text")  # at most 2 * sample narrow rows
+    x = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id")  # at most 2 * sample narrow rows
+    # a text an id, chosen where its rows lie and then among those: repeated rows don't add up
+    x = x.groupBy("doc_id").agg(F.first("__y").alias("__y"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    w = Window.partitionBy("__y").orderBy(*order)
+    x = x.withColumn("__b", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(w)).where(F.col("__b") <= SAMPLE_BYTES).select("__y", "text")
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -130,6 +130,58 @@ def test_packing_rounds(spark, monkeypatch, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 200)
+    seen = spark.sparkContext.accumulator(0)
+    real = packing._pack_group
+
+    def watched(*a):
+        f = real(*a)
+
+        def g(pdf):
+            if len(pdf) > 900:
+                seen.add(1)
+            return f(pdf)
+
+        return g
+
+    monkeypatch.setattr(packing, "_pack_group", watched)
+    df = spark.range(5000).selectExpr("7L as doc_id", "0 as piece", "0L as start", "100L as length", "9L as ids_crc32")
+    rows = packing.assign(df).collect()
+    assert len(rows) == 5000 and check_places(rows) <= math.ceil(5000 / 20) + 1 and not seen.value
+
+
+def test_toxicity_sample_is_bounded(docs, spark, monkeypatch):
+    """A labelled id in many rows teaches once, and texts beyond the bound don't."""
+    rows = [(1, "rude words. ", "en", "a")] * 2000 + [(2, "kind words. ", "en", "a"), (3, "rude words. " * 400, "en", "a")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, toxic int")
+    assert len(toxicity.training_rows(docs(rows), labels)) == 3
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 1000)
+    assert sorted(r[0] for r in toxicity.training_rows(docs(rows), labels)) in ([0], [0, 1])
+
+
+def test_toxicity_score_is_the_noisy_or(docs, spark):
+    """Scores recomputed in plain Python from the model's weights, a sentence and a word at a time."""
+    df = docs([(i, f"fine words w{i} here. " + ("you utter moron! " if i % 3 == 0 else "kind of nice! ") + "the end", "en", "a") for i in range(120)] + [(500, None, "en", "a"), (501, "moron", "en", "a")])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    model = toxicity.fit(df, labels)
+    words, weights, bias, leak = model
+    price = dict(zip(words.tolist(), weights.tolist()))
+
+    def word_hash(w):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return int(toxicity.hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+
+    got = {r.doc_id: r.score for r in toxicity.score(df, model).collect()}
+    sig = lambda z: 1 / (1 + math.exp(-z))
+    for r in df.collect():
+        good = 1 - sig(leak)
+        for s in re.split(r"(?<=[.!?\n])", r.text or ""):
+            found = [price[h] for h in {word_hash(w) for w in re.findall(r"[a-z0-9\x80-\U0010ffff]+", s.lower())} if h in price]
+            good *= 1 - sig(bias + sum(found)) if found else 1
+        assert got[r.doc_id] == pytest.approx(1 - good, abs=1e-9)
+
+
 def test_local_search_empties_bins():
     lengths = np.array([5, 5, 6, 4, 3, 7, 2, 8])
     bins = [[i] for i in range(8)]
