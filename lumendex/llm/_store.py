@@ -91,5 +91,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def own(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with columns own_0, own_1, ... in its order, clear of all other names; and the new name of each (the first of like names)."""
+    names = {}
+    for i, c in enumerate(df.columns):
+        names.setdefault(c, f"own_{i}")
+    return df.toDF(*[f"own_{i}" for i in range(len(df.columns))]), names
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

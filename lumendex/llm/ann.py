@@ -2,18 +2,21 @@
 
 Each vector, less the centroid and scaled to length one, is rotated; the signs of its D coordinates are its code, D
 bits, beside two correction scalars: its distance from the centroid and the inner product of the unit vector with its
-own code. From a code the inner product with a query is estimated without bias, and its error stays within
-EPSILON * sqrt((1 - f * f) / (f * f) / (D - 1)) of the lengths' product but for rare cases, f being the second scalar.
-A query's vectors whose estimate plus bound reaches the k-th best product found so far are reranked by exact products
-in double precision; no other limit is set on their number.
-
-Vectors are dealt by a hash of their id into parts of about PART (smaller tables into up to SPREAD, for parallel work); every query visits every part, a block of
-queries at a time, and brings back its k best of each. The centroid is fitted on SAMPLE vectors with the smallest
-hashes; all vectors are indexed.
+own code. A query's rotated coordinates are rounded to four bits, so its product with a code is four counts of the bits
+that the packed code shares with a plane of the query. From that the inner product is estimated without bias, and its
+error stays within EPSILON * sqrt((1 - f * f) / (f * f) / (D - 1)) of the lengths' product, f being the second scalar,
+but for rare cases, and what the rounding can make. A query's vectors whose estimate plus bound reaches the k-th best product
+found so far are reranked by exact products in double precision; no other limit is set on their number.
+
+Vectors stay where they are stored and are taken in parts of PART_BYTES. Queries come to them in blocks of QUERY_BYTES, one
+pass over the index each, broadcast; with each query goes the k-th best product among SAMPLE vectors, so that a task sends
+back what beats it, k rows a query at most. So no vector is shuffled; the work is that of queries times vectors, as
+stated, and what comes back is at most k rows a query and task. The centroid is fitted on CENTER vectors with the
+smallest hashes, from which the SAMPLE is taken too; all vectors are indexed.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite components
 take no part; equal products go to the smaller id; copies of a row are candidates each; a query is no candidate of its
-own id; with fewer than k candidates all are returned; an empty table gives an empty result.
+own id; with fewer than k candidates all are returned; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -29,12 +32,14 @@ from pyspark.sql import functions as F
 from ._store import cut, table
 
 K = 20
-PART = 65_536
-LEAST_PART = 4096
-SPREAD = 12
-QUERIES = 256
-SAMPLE = 4096
+PART_BYTES = 64 << 20
+QUERY_BYTES = 16 << 20
+TILE = 1 << 22
+CENTER = 4096
+SAMPLE = 16_384
+SAMPLE_BYTES = 64 << 20
 EPSILON = 2.2
+LEVELS = 4
 SEED = 7
 
 
@@ -57,18 +62,24 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits, packed into 64-bit words."""
+    packed = np.packbits(bits, axis=1)
+    return np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8)))).view(np.uint64)
+
+
 def encode(x: np.ndarray, centroid: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed signs, distance from the centroid, inner product of the unit residual with its code."""
     residual = (x - centroid) @ turn.T
     far = np.linalg.norm(residual, axis=1)
     unit = residual / np.where(far > 0, far, 1)[:, None]
-    return np.packbits(unit > 0, axis=1), far, np.abs(unit).sum(1) / math.sqrt(x.shape[1])
+    return words(unit > 0), far, np.abs(unit).sum(1) / math.sqrt(x.shape[1])
 
 
 def build_index(vectors: DataFrame) -> tuple[DataFrame, np.ndarray]:
     """(vec_id, embedding, code, far, fit) of every valid vector, and the centroid."""
     x = valid(vectors)
-    sample = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    sample = x.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CENTER).collect()
     centroid = np.mean([r.embedding for r in sample], axis=0) if sample else np.zeros(1)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,75 +93,98 @@ def build_index(vectors: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 class Part:
-    """The vectors of one part, ready for blocks of queries."""
+    """The vectors of one part, ready for queries."""
 
-    def __init__(self, ids, x, code, far, fit, centroid):
+    def __init__(self, batches: list[pa.RecordBatch], centroid: np.ndarray):
+        ids = np.concatenate([b.column(0).to_numpy() for b in batches])
         o = np.argsort(ids, kind="stable")
-        self.ids, self.x, self.far, fit = ids[o], x[o], far[o], np.maximum(fit[o], 1e-9)
-        d = x.shape[1]
-        sign = np.unpackbits(code[o], axis=1, count=d).astype(np.float32)
-        self.sign = (2 * sign - 1) / np.float32(math.sqrt(d))
-        self.scale = (self.far / fit).astype(np.float32)
-        self.error = (self.far * np.sqrt(np.maximum(1 - fit * fit, 0)) / fit * EPSILON / math.sqrt(max(d - 1, 1))).astype(np.float32)
+        take = lambda k: np.concatenate([b.column(k).to_numpy() for b in batches])[o]
+        self.ids, self.x = ids[o], np.concatenate([matrix(b.column(1)) for b in batches])[o]
+        self.far, fit = take(3), np.maximum(take(4), 1e-9)
+        self.code = np.frombuffer(b"".join(c for b in batches for c in b.column(2).to_pylist()), np.uint64).reshape(len(ids), -1)[o]
+        self.ones = np.bitwise_count(self.code).sum(1, dtype=np.int64)
+        self.d = d = self.x.shape[1]
+        self.scale = self.far / fit / math.sqrt(d)
+        self.error = self.far * np.sqrt(np.maximum(1 - fit * fit, 0)) / fit * EPSILON / math.sqrt(max(d - 1, 1))
         self.centroid, self.turn = centroid, rotation(d)
 
-    def search(self, ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query's id, candidates' ids, products), the k best of this part."""
-        turned = (q @ self.turn.T).astype(np.float32)
-        estimate = self.sign @ turned.T * self.scale[:, None] + (q @ self.centroid).astype(np.float32)
-        bound = self.error[:, None] * np.linalg.norm(q, axis=1).astype(np.float32)
-        own = {int(i) for i in ids}
-        mine = np.isin(self.ids, list(own))
-        for j, i in enumerate(ids):
-            e = estimate[:, j]
-            other = None if not mine.any() else self.ids != i
-            first = np.argpartition(-e, min(4 * k, len(e) - 1))[: 4 * k + 1]
-            if other is not None:
-                first = first[other[first]]
-            exact = self.x[first] @ q[j]
-            least = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
-            reach = e + bound[:, j] >= least - 1e-6 * abs(least)
-            if other is not None:
-                reach &= other
-            rest = np.flatnonzero(reach)
-            score = np.einsum("nd,d->n", self.x[rest], q[j])
-            top = np.lexsort((self.ids[rest], -score))[:k]
-            yield int(i), self.ids[rest[top]], score[top]
+    def search(self, i: int, q: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and products of the k best for query i that reach `least`, best first."""
+        turned = self.turn @ q
+        low, high = turned.min(), turned.max()
+        step = (high - low) / (2**LEVELS - 1) or 1.0
+        level = np.clip(np.rint((turned - low) / step), 0, 2**LEVELS - 1).astype(np.uint8)
+        planes = words(level[None, :] >> np.arange(LEVELS, dtype=np.uint8)[:, None] & 1)
+        shared = sum(np.bitwise_count(self.code & planes[j]).sum(1, dtype=np.int64) << j for j in range(LEVELS))
+        product = 2 * (low * self.ones + step * shared) - (low * self.d + step * int(level.sum()))  # of the signs with the rounded query
+        bound = self.error * np.linalg.norm(q) + self.scale * np.abs(low + step * level - turned).sum()
+        estimate = self.scale * product + q @ self.centroid
+        other = self.ids != i
+        first = np.argpartition(-estimate, min(4 * k, len(estimate) - 1))[: 4 * k + 1]
+        exact = self.x[first[other[first]]] @ q
+        if len(exact) >= k:
+            least = max(least, np.partition(exact, len(exact) - k)[len(exact) - k])
+        rest = np.flatnonzero((estimate + bound >= least - 1e-6 * abs(least)) & other)
+        score = np.einsum("nd,d->n", self.x[rest], q)
+        top = np.lexsort((self.ids[rest], -score))[:k]
+        return self.ids[rest[top]], score[top]
+
+
+def _block(index: DataFrame, centroid: np.ndarray, ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int) -> DataFrame:
+    """query_id, vec_id, score: for each query the k best of every partition of the index."""
+    sent = index.sparkSession.sparkContext.broadcast((ids, q, least))  # QUERY_BYTES
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, q, least = sent.value
+        least, best = least.copy(), [(np.zeros(0, np.int64), np.zeros(0))] * len(ids)
+
+        def visit(held: list[pa.RecordBatch]) -> None:
+            part = Part(held, centroid)
+            for j, i in enumerate(ids.tolist()):
+                v, s = (np.concatenate(x) for x in zip(best[j], part.search(i, q[j], k, least[j])))
+                top = np.lexsort((v, -s))[:k]
+                best[j] = v[top], s[top]
+                if len(top) == k:
+                    least[j] = max(least[j], best[j][1][-1])
+
+        held, n = [], 0
+        for b in batches:
+            if b.num_rows:
+                held.append(b)
+                n += b.nbytes
+            if n >= PART_BYTES:
+                visit(held)
+                held, n = [], 0
+        if held:
+            visit(held)
+        if any(len(v) for v, _ in best):
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, [len(v) for v, _ in best])), pa.array(np.concatenate([v for v, _ in best])), pa.array(np.concatenate([s for _, s in best]))], ["query_id", "vec_id", "score"])
+
+    return index.mapInArrow(f, "query_id long, vec_id long, score double")
+
+
+def _arrow(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    t = df.toArrow().combine_chunks()
+    return t.column(0).to_numpy(), matrix(t.column(1).combine_chunks())
 
 
 def search(index: DataFrame, centroid: np.ndarray, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: for each query (vec_id, embedding) the k nearest found."""
-    n = index.count()
-    parts = max(1, -(-n // PART), min(SPREAD, n // LEAST_PART))  # each part sends k rows a query back
-    own = index.select(F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("part"), F.lit(0).alias("role"), "vec_id", "embedding", "code", "far", "fit")
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("code", "binary"), ("far", "double"), ("fit", "double"))]
-    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"), F.lit(1).alias("role"), "vec_id", "embedding", *none)
-    rows = own.unionByName(asked).repartition(parts, "part").sortWithinPartitions("part", "role")
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held, ready = None, [], None
-        for b in batches:
-            both = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
-            edges = [0, *(np.flatnonzero((both[1:] != both[:-1]).any(1)) + 1).tolist(), len(both)]
-            for s, t in zip(edges, edges[1:]):
-                if s == t:
-                    continue
-                if both[s, 0] != part:
-                    part, held, ready = both[s, 0], [], None
-                run = b.slice(s, t - s)
-                ids, x = run.column(2).to_numpy(), matrix(run.column(3))
-                if both[s, 1] == 0:
-                    code = np.frombuffer(b"".join(run.column(4).to_pylist()), np.uint8).reshape(len(ids), -1)
-                    held.append((ids, x, code, run.column(5).to_numpy(), run.column(6).to_numpy()))
-                    continue
-                if held and ready is None:
-                    ready = Part(*(np.concatenate(c) for c in zip(*held)), centroid)
-                    held = []
-                for a in range(0, len(ids) if ready else 0, QUERIES):
-                    found = list(ready.search(ids[a : a + QUERIES], x[a : a + QUERIES], k))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(v), i, np.int64) for i, v, _ in found])), pa.array(np.concatenate([v for _, v, _ in found])), pa.array(np.concatenate([s for *_, s in found]))], ["query_id", "vec_id", "score"])
-
-    near = rows.mapInArrow(f, "query_id long, vec_id long, score double")
+    row_bytes = 8 * (len(centroid) + 2)
+    known, sample = _arrow(index.select("vec_id", "embedding").orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(SAMPLE, SAMPLE_BYTES // row_bytes))))
+    blocks = max(1, -(-queries.count() * row_bytes // QUERY_BYTES))
+    near = None
+    for block in range(blocks):
+        ids, q = _arrow(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block))
+        least = np.full(len(ids), -np.inf)
+        rows = max(1, TILE // max(1, len(known)))
+        for a in range(0, len(ids), rows):
+            products = q[a : a + rows] @ sample.T
+            products[ids[a : a + rows, None] == known[None, :]] = -np.inf
+            if products.shape[1] >= k:
+                least[a : a + rows] = np.partition(products, products.shape[1] - k, axis=1)[:, -k]
+        found = _block(index, centroid, ids, q, least - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0)), k)
+        near = found if near is None else near.unionByName(found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import cut, table
+from ._store import cut, own, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -177,9 +177,12 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """Each row of docs as many times as the mix takes it.
 
     Rows are written once with a number of their own, by which the copies come back, so rows that are alike in all else don't meet."""
-    x = cut(docs.select(F.monotonically_increasing_id().alias("number"), "doc_id", "source", "text", F.struct(*docs.columns).alias("row")), "mixing-rows")
-    taken = copies(sizes(x, "number")).where("copies > 0").select("number", F.col("copies").cast("int"))
-    return x.select("number", "row").join(taken, "number").select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
+    x, names = own(docs)
+    x = cut(x.withColumn("number", F.monotonically_increasing_id()), "mixing-rows")
+    taken = copies(sizes(x.withColumnsRenamed({names[c]: c for c in ("doc_id", "source", "text")}), "number"))
+    taken = taken.where("copies > 0").select("number", F.col("copies").cast("int"))
+    times = F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("times")
+    return x.join(taken, "number").select("*", times).select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8(spark, sf_dir):

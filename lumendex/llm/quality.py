@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import cut
+from ._store import cut, own
 
 SYMBOLS = "#*$%&|<>"
 BINS_PER_E = 100
@@ -155,8 +155,10 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with docs' columns. Rows are written once with their measures; the thresholds are
     joined with these, so no text is shuffled while the thresholds are few."""
-    x = base_columns(docs.select("lang", "source", "text", F.struct(*docs.columns).alias("row"))).drop("text")
-    return judge(cut(x, "quality-rows")).where("kept").select("row.*")
+    x, names = own(docs)
+    x = base_columns(x, names["text"]).withColumnsRenamed({names[c]: c for c in ("lang", "source")})
+    back = [F.col(c if names[c] == f"own_{i}" and c in ("lang", "source") else f"own_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return judge(cut(x, "quality-rows")).where("kept").select(*back)
 
 
 def op1(spark, sf_dir):

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import cut, fresh, table
+from ._store import cut, fresh, own, table
 
 BITS = 4
 SHARDS = 16
@@ -159,12 +159,13 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """docs as one folder for each shard, in files of about FILE_ROWS rows along the curve.
 
     Rows are written once with a number of their own; keys are placed by it, and the texts go to their files in one shuffle after the join."""
-    x = cut(docs.select(F.monotonically_increasing_id().alias("number"), "doc_id", "lang", "source", "text", F.struct(*docs.columns).alias("row")), "sharding-rows")
-    at = assign(x.select("number", "doc_id", "lang", "source", "text"), shards, "number").select("number", F.col("shard").alias("__shard"), "slot")
+    x, names = own(docs)
+    x = cut(x.withColumn("number", F.monotonically_increasing_id()), "sharding-rows")
+    at = assign(x.withColumnsRenamed({names[c]: c for c in ("doc_id", "lang", "source", "text")}), shards, "number").select("number", F.col("shard").alias("__shard"), "slot")
     parts = max(shards, 2 * (-(-x.count() // FILE_ROWS)))
-    x = x.select("number", "row").join(at, "number").withColumn("file", F.expr(f"slot div {FILE_ROWS}"))
+    x = x.join(at, "number").withColumn("file", F.expr(f"slot div {FILE_ROWS}"))
     x = x.repartition(parts, "__shard", "file").sortWithinPartitions("__shard", "slot")
-    x.select("row.*", F.col("__shard").alias(fresh(docs, "shard"))).write.partitionBy(fresh(docs, "shard")).parquet(path)
+    x.select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)], F.col("__shard").alias(fresh(docs, "shard"))).write.partitionBy(fresh(docs, "shard")).parquet(path)
 
 
 def op2(spark, sf_dir):
