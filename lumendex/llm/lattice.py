@@ -2,16 +2,19 @@
 
 The pieces of an existing vocabulary are the arcs of a lattice over each word (a word is its characters after the mark
 of a word's start; no piece reaches from one word into the next, so a text's lattice is the row of its words'). The
-vocabulary's scores give its order, and the order a first weight to every piece; expected counts over the lattices of
-all training texts' words then estimate the weights anew, ROUNDS times. The probability of a text is the sum over all
+vocabulary's scores give its order (they are ranks, not log probabilities), and the order a first weight to every piece;
+expected counts over the lattices of all training texts' words then estimate the weights anew, ROUNDS times; with rounds=0
+the vocabulary's order alone weighs the segmentations. The probability of a text is the sum over all
 its segmentations: forward recursion in log space, a word at a time, and an end.
 
 Counting is one aggregation over the words of all texts. The lattices are run once for each distinct word. Texts are
 scored by the values of their words: those of the HOT most frequent words are broadcast (a fixed number), the others
 are joined by a 64-bit hash of the word.
 
-Defined results: a null text is empty and has one token, its end; repeated rows count and are scored each; with no
-training text every count is 0 and the pieces keep their first weights; an empty table gives an empty result.
+Defined results: a null text is empty and has one token, its end; texts of any length are scored whole, and a very long
+word by as many steps as it has characters; repeated rows count and are scored each; words of equal frequency are hot or
+not by their spelling, which changes no score; with no training text every count is 0 and the pieces keep their first
+weights; other columns of docs don't matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations

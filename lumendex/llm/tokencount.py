@@ -2,16 +2,19 @@
 
 A text is cut into pre-tokens across which no piece of the vocabulary reaches: a run of spaces with what follows it,
 and control characters that only occur as bytes. Pre-tokens not met before in this worker are laid end to end as one
-array of symbols; in each round every sequence merges its pair of lowest rank (the leftmost of equals), all sequences
-at once, until no pair is a piece. What survives is counted: one for a known symbol, its UTF-8 bytes for another.
-
-Defined results: a null text counts as empty: no bytes, no tokens. The count never depends on how texts are batched.
-Rows are independent: repeated rows get equal counts, empty tables give empty results.
+array of symbols; in each round every sequence merges its pair of lowest rank, wherever it stands (from the left, where
+two overlap), all sequences at once, until no pair is a piece. A merge makes pairs of higher rank only, so this is the order
+one at a time; of the few pieces of which that isn't true the leftmost alone is merged. After a round only the pairs beside
+merges are looked up, so a very long pre-token takes as many rounds as it has unlike pairs, not symbols. What survives is
+counted: one for a known symbol, its UTF-8 bytes for another.
+
+Defined results: a null text counts as empty: no bytes, no tokens. Texts and pre-tokens of any length are counted whole
+by the same rounds, and the count never depends on how texts are batched. Rows are independent: repeated rows get equal
+counts, other columns of docs don't matter, empty tables give empty results.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +28,7 @@ from ._store import small_batches, table
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
 REMEMBER = 1 << 19
-LONG = 400
+CHARS = 1 << 21
 _SPACE = "▁"
 _NONE = np.iinfo(np.int64).max
 
@@ -53,6 +56,11 @@ class Counter:
         key = np.array(left, np.int64) * (1 << 32) + np.array(right, np.int64)
         o = np.argsort(key)
         self.key, self.to = key[o], np.array(to, np.int64)[o]
+        part = np.concatenate([left, right]).astype(np.int64)
+        long = np.array([len(pieces[k]) > 1 for k in order])[part]
+        back = self.level[np.concatenate([to, to]).astype(np.int64)] <= self.level[part]
+        self.late = np.zeros(self.level[-1] + 1, bool)  # levels of pieces that are part of a pair of no higher rank
+        self.late[self.level[part[back & long]]] = True
         inside = {c for p in pieces if len(p) > 1 for c in p}
         alone = [c for c in "\n\t\r" if c not in inside]
         crossed = any(_SPACE in p.lstrip(_SPACE) for p in pieces)
@@ -60,6 +68,14 @@ class Counter:
         self.split = None if crossed else re.compile(f"{_SPACE}*[^{_SPACE}{cut}]+|{_SPACE}+" + (f"|[{cut}]" if cut else ""))
         self.known: dict[str, int] = {}
 
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Level and symbol of what each pair merges to; _NONE if it is no piece."""
+        pair = np.where((a >= 0) & (b >= 0), a * (1 << 32) + b, -1)
+        at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
+        hit = self.key[at] == pair
+        to = np.where(hit, self.to[at], 0)
+        return np.where(hit, self.level[to], _NONE), to
+
     def merged(self, words: list[str]) -> np.ndarray:
         """Surviving symbols of each word, all words merged at once."""
         lens = np.fromiter(map(len, words), np.int64, len(words))
@@ -68,59 +84,37 @@ class Counter:
         symbol = np.fromiter(map(distinct.__getitem__, chars), np.int64, len(chars))
         owner = np.repeat(np.arange(len(words)), lens)
         total = np.zeros(len(words), np.int64)
+        if not len(symbol):
+            return total
+        level, to = (np.append(x, e) for x, e in zip(self._pairs(symbol[:-1], symbol[1:]), (_NONE, 0)))
+        level[:-1][owner[1:] != owner[:-1]] = _NONE
         while len(symbol):
-            same = owner[:-1] == owner[1:]
-            pair = np.where(same & (symbol[:-1] >= 0) & (symbol[1:] >= 0), symbol[:-1] * (1 << 32) + symbol[1:], -1)
-            at = np.minimum(np.searchsorted(self.key, pair), len(self.key) - 1)
-            hit = self.key[at] == pair
-            to = np.where(hit, self.to[at], 0)
-            level = np.where(hit, self.level[to], _NONE)
-            # the lowest rank of each sequence; of equals the leftmost
             heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-            low = np.minimum.reduceat(np.append(level, _NONE), heads)
-            low_of = np.repeat(low, np.diff(np.append(heads, len(owner))))
-            cand = np.flatnonzero(hit & (level == low_of[:-1]))
-            first = cand[np.concatenate([[True], owner[cand][1:] != owner[cand][:-1]])] if len(cand) else cand
-            keep = np.ones(len(symbol), bool)
-            symbol[first] = to[first]
-            keep[first + 1] = False
-            done = ~np.isin(np.arange(len(heads)), np.searchsorted(heads, first, "right") - 1)
-            over = np.repeat(done, np.diff(np.append(heads, len(owner))))
-            total += np.bincount(owner[over], np.where(symbol[over] < 0, -symbol[over], 1), len(words)).astype(np.int64)
-            keep &= ~over
-            symbol, owner = symbol[keep], owner[keep]
+            sizes = np.diff(np.append(heads, len(owner)))
+            low = np.minimum.reduceat(level, heads)  # the lowest rank of each sequence
+            keep = np.repeat(low != _NONE, sizes)
+            over = ~keep
+            if over.any():
+                total += np.bincount(owner[over], np.where(symbol[over] < 0, -symbol[over], 1), len(words)).astype(np.int64)
+            take = np.flatnonzero(keep & (level == np.repeat(low, sizes)))
+            if len(take):
+                # of a row of overlapping pairs every other one; of late pieces the leftmost
+                run = np.flatnonzero(np.concatenate([[True], take[1:] != take[:-1] + 1]))
+                odd = (np.arange(len(take)) - np.repeat(run, np.diff(np.append(run, len(take))))) % 2 == 1
+                first = np.concatenate([[True], owner[take][1:] != owner[take][:-1]])
+                take = take[~odd & (first | ~self.late[level[take]])]
+                symbol[take] = to[take]
+                keep[take + 1] = False
+            at = np.cumsum(keep)[take] - 1  # where the merged symbols are after this
+            symbol, owner, level, to = symbol[keep], owner[keep], level[keep], to[keep]
+            if len(at):
+                at = np.unique(np.concatenate([at, at[at > 0] - 1]))
+                inside = at[at < len(symbol) - 1]
+                level[inside], to[inside] = self._pairs(symbol[inside], symbol[inside + 1])
+                level[at[at == len(symbol) - 1]] = _NONE
+                level[inside[owner[inside] != owner[inside + 1]]] = _NONE
         return total
 
-    def merged_one(self, word: str) -> int:
-        """The same merges for one very long pre-token, whose rounds would be as many as its symbols: by a heap."""
-        symbol = [self.ids.get(c, -len(c.encode())) for c in word]
-        n = len(symbol)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and symbol[i] >= 0 and symbol[j] >= 0:
-                key = symbol[i] * (1 << 32) + symbol[j]
-                at = int(np.searchsorted(self.key, key))
-                if at < len(self.key) and self.key[at] == key:
-                    to = int(self.to[at])
-                    heapq.heappush(heap, (int(self.level[to]), i, key, to))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
-        gone = [False] * n
-        while heap:
-            _, i, key, to = heapq.heappop(heap)
-            j = after[i]
-            if gone[i] or j < 0 or symbol[i] * (1 << 32) + symbol[j] != key:
-                continue
-            symbol[i], gone[j], after[i] = to, True, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(before[i], i)
-            offer(i, after[i])
-        return sum(1 if x >= 0 else -x for x, g in zip(symbol, gone) if not g)
-
     def pretokens(self, text: str) -> list[str]:
         if not text:
             return []
@@ -132,11 +126,11 @@ class Counter:
         if len(self.known) > REMEMBER:
             self.known.clear()
         new = list({w for ws in cut for w in ws if w not in self.known})
-        self.known.update((w, self.merged_one(w)) for w in new if len(w) > LONG)
-        new = [w for w in new if len(w) <= LONG]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            self.known.update(zip(part, self.merged(part).tolist()))
+        ends, at = np.cumsum([len(w) for w in new]), 0
+        while at < len(new):
+            to = min(at + 20_000, max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHARS, "right"))))
+            self.known.update(zip(new[at:to], self.merged(new[at:to]).tolist()))
+            at = to
         return [sum(map(self.known.__getitem__, ws)) for ws in cut]
 
 

@@ -49,9 +49,8 @@ def test_long_clean_text_stays_clean(docs, spark):
 
 def test_lattice_base_and_marginals(spark, odd, none):
     trains = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 != 1
-    small = odd.where("doc_id is null or doc_id != 6")
-    rows = lattice.score(small, trains).collect()
-    src = small.collect()
+    rows = lattice.score(odd, trains).collect()
+    src = odd.collect()
     tok = lambda t: [w for w in SPLIT.split(re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) if w] + [""]
     learn = lambda i: zlib.crc32((str(i) if i is not None else "").encode()) % 5 != 1
     c = Counter(w for r in src if learn(r.doc_id) for w in tok(r.text))
@@ -63,6 +62,15 @@ def test_lattice_base_and_marginals(spark, odd, none):
     assert lattice.score(none, trains).count() == 0
 
 
+def test_lattice_without_learning(spark, odd):
+    """rounds=0: the vocabulary's order alone weighs the segmentations."""
+    trains = F.lit(True)
+    words = lattice.count_words(odd.where("doc_id != 6"), trains)
+    logp, end = lattice.fit(words, rounds=0)
+    v = lattice.vocabulary(lattice.default_path())
+    assert np.allclose(np.exp(logp), v.first * (1 - math.exp(end))) and math.exp(end) == pytest.approx(0.01)
+
+
 def test_lattice_forward_is_the_sum_over_segmentations():
     v = lattice.vocabulary(lattice.default_path())
     logp = np.log(v.first)
@@ -201,7 +209,15 @@ def test_token_counts(odd, none, spark):
     c = tokencount.counter(tokencount.default_path())
     texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["", " ", "a  b ", "\n\n a\tb", "ab" * 900, "   x", "12 345"]
     assert c.count(texts) == [len(x) for x in sp.encode(texts)]
-    assert all(c.merged_one(w) == c.merged([w])[0] for w in ("▁hello", "▁antidisestablishmentarianism", "aaaa日本"))
+    assert 0 < c.late.mean() < 0.2
+    rng = np.random.default_rng(2)
+    long = ["a" * 70_001, "ab" * 30_000 + "c", "".join(map(chr, rng.integers(97, 123, 40_000))), "".join(rng.choice(list("etaoin▁ésß日"), 20_000))]
+    assert c.count(long) == [len(x) for x in sp.encode(long)]
+    few = [w for t in texts[:40] for w in c.pretokens(t)]
+    together = c.merged(few).tolist()
+    before, c.late = c.late, np.ones_like(c.late)
+    assert c.merged(few).tolist() == together  # the leftmost alone, one a round
+    c.late = before
 
 
 def test_registered(spark):
