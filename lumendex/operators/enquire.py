@@ -77,11 +77,13 @@ class Enquire:
         if self.collapse_slot is None:
             return x.withColumns({"collapse_key": F.lit("").cast("string"), "collapse_count": F.lit(0).cast("long")})
         x = self._value(x, self.collapse_slot, "collapse_key")
-        # keys are never collapsed when empty; those rows go by their own document, so that they don't meet in one task
-        part = Window.partitionBy("collapse_key", F.when(F.col("collapse_key") == "", F.col("did")))
-        x = x.withColumn("rn", F.row_number().over(part.orderBy(*self._order()))).withColumn("same", F.count("*").over(part))
-        x = x.where(F.col("rn") <= self.collapse_max)
-        return x.withColumn("collapse_count", F.when(F.col("collapse_key") == "", 0).otherwise(F.greatest(F.lit(0), F.col("same") - self.collapse_max)).cast("long")).drop("rn", "same")
+        # rows with an empty key are never collapsed; of the others each task keeps its best few of a key before they meet, and
+        # counts are summed apart, so that a key of most matches is no task of its own
+        alone = x.where("collapse_key = ''").withColumn("collapse_count", F.lit(0).cast("long"))
+        rest = x.where("collapse_key != ''")
+        best = rest.withColumn("rn", F.row_number().over(Window.partitionBy("collapse_key").orderBy(*self._order()))).where(F.col("rn") <= self.collapse_max).drop("rn")
+        same = rest.groupBy("collapse_key").agg(F.greatest(F.lit(0), F.count("*") - self.collapse_max).cast("long").alias("collapse_count"))
+        return alone.unionByName(best.join(same, "collapse_key").select(*alone.columns))
 
     def with_percent(self, x: DataFrame) -> DataFrame:
         """x with percent: 100 for the best document if it matches all weighted leaves, else its share of them."""

@@ -13,7 +13,7 @@ from .functions import weights as W
 from .operators.ast import Query as Q
 from .operators.enquire import Enquire
 from .operators.match import Matcher
-from .sources.catalog import Catalog, from_text
+from .sources.catalog import WORD, Catalog, from_text
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,10 +39,11 @@ def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
 
 def add(name: str, sql: str | None = None):
+    """Register a query, and its SQL: <word> in it stands for the word rule."""
     def f(fn):
         QUERIES[name] = fn
         if sql:
-            ORACLE_SQL[name] = sql
+            ORACLE_SQL[name] = sql.replace("<word>", WORD)
         return fn
 
     return f
@@ -53,7 +54,7 @@ def _r(c, n: int = 6):
 
 
 #: The inverted index in SQL.
-PRE = """WITH d AS (SELECT doc_id + 1 AS did, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws, text, lang, source, n_chars, lpad(CAST(n_chars AS VARCHAR), 8, '0') AS len8 FROM documents),
+PRE = """WITH d AS (SELECT doc_id + 1 AS did, regexp_extract_all(lower(text), '<word>') AS ws, text, lang, source, n_chars, lpad(CAST(n_chars AS VARCHAR), 8, '0') AS len8 FROM documents),
 tok AS (SELECT did, unnest(ws) AS term, unnest(range(1, len(ws) + 1)) AS pos FROM d),
 p AS (SELECT did, term, count(*) AS f, list(pos ORDER BY pos) AS positions FROM tok GROUP BY ALL),
 ds AS (SELECT d.did, coalesce(sum(f), 0) AS l, count(f) AS u, coalesce(max(f), 0) AS m FROM d LEFT JOIN p ON p.did = d.did GROUP BY d.did),

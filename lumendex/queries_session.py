@@ -137,7 +137,9 @@ def _(s, d):
 
 # ---- scans and statistics
 
-@add("scan_posting_list", PRE + "SELECT p.did, f AS wdf, l AS doclen, u AS uniq, m AS wdfmax FROM p JOIN ds USING (did) WHERE term = 'the'")
+@add("scan_posting_list", """WITH d AS (SELECT doc_id + 1 AS did, regexp_extract_all(lower(text), '<word>') AS ws FROM documents)
+SELECT did, CAST(len(list_filter(ws, lambda x: x = 'the')) AS BIGINT) AS wdf, CAST(len(ws) AS BIGINT) AS doclen, CAST(len(list_distinct(ws)) AS BIGINT) AS uniq,
+CAST(list_max(map_values(list_aggregate(ws, 'histogram'))) AS BIGINT) AS wdfmax FROM d WHERE list_contains(ws, 'the')""")
 def _(s, d):
     return catalog(s, d).posting_list("the").select("did", "wdf", "doclen", "uniq", "wdfmax")
 
@@ -306,7 +308,7 @@ def _(s, d):
 
 # ---- spelling
 
-@add("spelling_dictionary", "SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS word FROM part) WHERE length(word) > 1 GROUP BY word")
+@add("spelling_dictionary", "SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(lower(p_name), '<word>')) AS word FROM part) WHERE length(word) > 1 GROUP BY word")
 def _(s, d):
     w = table(s, d, "part").select(F.explode(cat.words_of("p_name")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     return spelling.added(s.createDataFrame([], "word string, freq long"), w)
@@ -315,11 +317,18 @@ def _(s, d):
 _FRAG = "list_concat(['H' || left(w, 2), 'T' || right(w, 2)], CASE WHEN length(w) <= 4 THEN ['B' || left(w, 1) || right(w, 1)] ELSE [] END, list_transform(range(1, greatest(length(w) - 1, 1)), lambda i: 'M' || substr(w, i, 3)))"
 
 
+#: asked words of two and three letters are looked up by their swapped forms too
+_SWAPPED = "CASE length(w) WHEN 2 THEN ['H' || reverse(w), 'T' || reverse(w)] WHEN 3 THEN ['M' || reverse(left(w, 2)) || right(w, 1), 'M' || left(w, 1) || reverse(right(w, 2))] ELSE [] END"
+
+
+# DuckDB's distance is one of bytes: letters beyond ASCII become capitals, which no word has
 @add("spelling_suggestions", PRE + f""", k AS (SELECT term AS w, c AS freq FROM ts WHERE length(term) > 1 AND NOT regexp_matches(term, '[0-9]')),
-q AS (SELECT DISTINCT left(w, 2) || substr(w, 4) AS w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark) WHERE length(w) >= 3),
-a AS (SELECT w, unnest({_FRAG}) AS g FROM q), b AS (SELECT w AS cand, freq, unnest({_FRAG}) AS g FROM k),
+q AS (SELECT DISTINCT left(w, 2) || substr(w, 4) AS w FROM (SELECT unnest(regexp_extract_all(lower(text), '<word>')) AS w FROM benchmark) WHERE length(w) >= 3),
+a AS (SELECT DISTINCT w, unnest(list_concat({_FRAG}, {_SWAPPED})) AS g FROM q), b AS (SELECT w AS cand, freq, unnest({_FRAG}) AS g FROM k),
 pr AS (SELECT DISTINCT a.w, cand, freq FROM a JOIN b USING (g) WHERE a.w != cand AND abs(length(a.w) - length(cand)) <= 1),
-ok AS (SELECT *, damerau_levenshtein(w, cand) AS dist FROM pr WHERE damerau_levenshtein(w, cand) <= 1),
+far AS (SELECT string_agg(DISTINCT c, '' ORDER BY c) AS far FROM (SELECT unnest(string_split(w, '')) AS c FROM k UNION ALL SELECT unnest(string_split(w, '')) FROM q) WHERE ascii(c) > 127),
+nd AS (SELECT *, damerau_levenshtein(translate(w, coalesce(far, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789'), translate(cand, coalesce(far, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789')) AS dist FROM pr, far),
+ok AS (SELECT * FROM nd WHERE dist <= 1),
 best AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY dist, freq DESC, cand) AS rn FROM ok)
 SELECT q.w AS word, CASE WHEN coalesce(k.freq, 0) < best.freq THEN cand END AS suggestion FROM q LEFT JOIN best ON best.w = q.w AND rn = 1 LEFT JOIN k ON k.w = q.w""")
 def _(s, d):
@@ -356,7 +365,7 @@ def _clustered(s, d, how):
 add("cluster_kmeans")(lambda s, d: _clustered(s, d, cluster.kmeans))
 add("cluster_equal_groups")(lambda s, d: _clustered(s, d, cluster.equal_groups))
 
-_FIELDS = """WITH c AS (SELECT conv_id + 1 AS did, turn, regexp_extract_all(lower(text), '[a-z0-9]+') AS ws FROM conversations),
+_FIELDS = """WITH c AS (SELECT conv_id + 1 AS did, turn, regexp_extract_all(lower(text), '<word>') AS ws FROM conversations),
 tok AS (SELECT did, CASE WHEN turn = 0 THEN 'title' ELSE 'body' END AS part, unnest(ws) AS term FROM c), ids AS (SELECT DISTINCT did FROM c),
 q AS (SELECT unnest(['the', 'of', 'and']) AS term), ln_ AS (SELECT ids.did, count(*) FILTER (part = 'title') AS lt, count(*) FILTER (part = 'body') AS lb, count(term) AS lw FROM ids LEFT JOIN tok USING (did) GROUP BY ids.did),
 cl AS (SELECT sum(lt) AS ct, sum(lb) AS cb, sum(lw) AS cw, count(*) AS n FROM ln_),

@@ -16,7 +16,7 @@ from .plans.parser import DEFAULT_FLAGS, QueryParser
 from .plans.ranges import DateRange, NumberRange, Range, UnitRange
 from .queries import BM25, PRE, T, _r, add, catalog, corpus, leaves, table
 from .sources import catalog as cat
-from .sources import ingest
+from .sources import ingest, writer
 from .streaming import ingest as streaming
 
 # ---- the search box: text is parsed and run
@@ -67,7 +67,7 @@ def _(s, d):
     return Enquire(catalog(s, d), p.parse("thing lang:en lang:fr")).matches.select("did", _r("w").alias("w"))
 
 
-@add("parse_field", """WITH c AS (SELECT conv_id + 1 AS did, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM conversations WHERE turn = 0) SELECT did, count(*) AS wdf FROM c WHERE term = 'the' GROUP BY did""")
+@add("parse_field", """WITH c AS (SELECT conv_id + 1 AS did, unnest(regexp_extract_all(lower(text), '<word>')) AS term FROM conversations WHERE turn = 0) SELECT did, count(*) AS wdf FROM c WHERE term = 'the' GROUP BY did""")
 def _(s, d):
     c = table(s, d, "conversations").where("turn = 0").select((F.col("conv_id") + 1).alias("did"), "text")
     k = cat.Catalog(c.select("did", F.col("text").alias("data")), cat.postings_of(cat.tokens_of(c, prefix="S")), s.createDataFrame([], "did long, slot int, value string, num double"))
@@ -231,8 +231,8 @@ def _sortable(s, d):
     def key(x: pd.Series) -> pd.Series:
         return x.map(encode.sortable)
 
-    x = table(s, d, "orders").select("o_orderkey", key("o_totalprice").alias("k"))
-    return x.select("o_orderkey", F.row_number().over(Window.orderBy("k", "o_orderkey")).cast("long").alias("place"))
+    x = table(s, d, "orders").select("o_orderkey", F.struct(key("o_totalprice").alias("k"), "o_orderkey").alias("order"))
+    return writer.numbered(x, "order").select("o_orderkey", F.col("did").alias("place"))
 
 
 add("encode_sortable", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS place FROM orders")(_sortable)
@@ -259,7 +259,7 @@ def _(s, d):
     return table(s, d, "orders").select("o_orderkey", F.explode(F.array(F.concat(F.lit("D"), day), F.concat(F.lit("M"), F.substring(day, 1, 6)), F.concat(F.lit("Y"), F.substring(day, 1, 4)))).alias("term"))
 
 
-@add("index_script", """WITH w AS (SELECT p_partkey + 1 AS did, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS term FROM part)
+@add("index_script", """WITH w AS (SELECT p_partkey + 1 AS did, unnest(regexp_extract_all(lower(p_name), '<word>')) AS term FROM part)
 SELECT did, term, CAST(2 * count(*) AS BIGINT) AS wdf FROM w GROUP BY did, term UNION ALL SELECT p_partkey + 1, 'XB:' || p_brand, CAST(0 AS BIGINT) FROM part UNION ALL SELECT p_partkey + 1, 'Q' || p_partkey, CAST(0 AS BIGINT) FROM part""")
 def _(s, d):
     p = table(s, d, "part")

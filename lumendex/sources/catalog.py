@@ -11,10 +11,11 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-WORD = "[a-z0-9]+"
+#: Letters, digits, marks and connectors of any script, and an apostrophe or ampersand between two of them. Java's and RE2's.
+WORD = r"[\p{L}\p{N}\p{M}\p{Pc}]+(?:[\x27\x{2019}&][\p{L}\p{N}\p{M}\p{Pc}]+)*"
 TABLES = ("documents", "postings", "values", "spelling", "synonyms", "metadata")
 _SCHEMAS = {
     "documents": "did long, data string",
@@ -37,21 +38,21 @@ MAX_TERM_BYTES = 245
 
 
 def words_of(text: Column | str, pattern: str = WORD) -> Column:
-    """Lower-cased ASCII words, in order; JVM-side."""
-    return F.expr(f"regexp_extract_all(lower({text if isinstance(text, str) else text._jc.toString()}), '{pattern}', 0)")
+    """Lower-cased words, in order; JVM-side."""
+    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
 def postings_of(tokens: DataFrame) -> DataFrame:
     """postings from (did, term, wdf_inc, pos): wdf is the sum of wdf_inc; a null pos is a posting without position.
 
-    One shuffle by document gives its statistics and its postings together."""
-    p = tokens.groupBy("did", "term").agg(F.sum("wdf_inc").cast("long").alias("wdf"), F.sort_array(F.collect_set("pos")).cast("array<int>").alias("positions"))
-    stats = p.groupBy("did").agg(F.sum("wdf").alias("doclen"), F.count("*").alias("uniq"), F.max("wdf").alias("wdfmax"))
-    return p.join(stats, "did").select("term", "did", "wdf", "positions", "doclen", "uniq", "wdfmax")
+    One shuffle by document: its terms are grouped and its statistics summed where its tokens lie."""
+    p = tokens.repartition("did").groupBy("did", "term").agg(F.sum("wdf_inc").cast("long").alias("wdf"), F.sort_array(F.collect_set("pos")).cast("array<int>").alias("positions"))
+    own = Window.partitionBy("did")
+    return p.select("term", "did", "wdf", "positions", F.sum("wdf").over(own).alias("doclen"), F.count("*").over(own).alias("uniq"), F.max("wdf").over(own).alias("wdfmax"))
 
 
 def tokens_of(docs: DataFrame, text: str = "text", prefix: str = "", wdf_inc: int = 1, gap: int = 0, positions: bool = True) -> DataFrame:
-    """(did, term, wdf_inc, pos) of a text column by the ASCII word rule."""
+    """(did, term, wdf_inc, pos) of a text column by the word rule."""
     x = docs.select("did", F.posexplode(words_of(text)).alias("i", "word"))
     pos = (F.col("i") + 1 + gap) if positions else F.lit(None).cast("int")
     return x.select("did", F.concat(F.lit(prefix), "word").alias("term"), F.lit(wdf_inc).alias("wdf_inc"), pos.cast("int").alias("pos"))
@@ -233,5 +234,6 @@ def from_text(docs: DataFrame, slots: dict[int, Column] | None = None, booleans:
     tokens = tokens_of(docs)
     for prefix, value in (booleans or {}).items():
         tokens = tokens.unionByName(boolean_tokens(docs, prefix, value))
+    postings = postings_of(tokens)
     none = docs.sparkSession.createDataFrame([], _SCHEMAS["values"])
-    return Catalog(docs.select("did", F.col("text").alias("data")), postings_of(tokens), values_of(docs, slots) if slots else none)
+    return Catalog(docs.select("did", F.col("text").alias("data")), postings, values_of(docs, slots) if slots else none)

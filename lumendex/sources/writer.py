@@ -91,8 +91,10 @@ class Database:
 
 
 def numbered(docs: DataFrame, order: str, after: int = 0) -> DataFrame:
-    """docs with did = after + 1, after + 2, ... along a column: a range sort, and one number for each partition."""
-    x = docs.sort(order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id())
+    """docs with did = after + 1, after + 2, ... along a column: a range sort, and one number for each partition.
+
+    The sorted rows are kept, as two sorts may cut the ranges differently."""
+    x = docs.sort(order).withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id()).persist()
     counts = {r["__part"]: r["n"] for r in x.groupBy("__part").agg(F.count("*").alias("n")).collect()}
     first, total = {}, after
     for p in sorted(counts):
