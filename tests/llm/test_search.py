@@ -67,8 +67,12 @@ def brute(rows, k, num, den):
 
 @pytest.mark.parametrize("seed,k,num,den", [(1, 3, 90, 100), (2, 5, 8, 10), (3, 3, 90, 100), (4, 2, 6, 10)])
 def test_jaccard_components(spark, seed, k, num, den, monkeypatch):
-    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    monkeypatch.setattr(jaccard, "ELEMENTS", 300)
+    monkeypatch.setattr(jaccard, "QUERIES", 8)
     monkeypatch.setattr(jaccard, "MEMBERS", 8)
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 5)
+    monkeypatch.setattr(jaccard, "BLOCK", [50, 1 << 20][seed % 2])
+    monkeypatch.setattr(jaccard, "BUCKET", 500)
     rnd = random.Random(seed)
     words = [f"w{i}" for i in range(300)]
     rows = [(0, ""), (1, None), (2, " \n"), (3, "A"), (4, "a")]
@@ -96,6 +100,24 @@ def test_jaccard_odd_rows(odd, none):
     assert jaccard.join(none).count() == 0 and jaccard.filter_documents(none).count() == 0
 
 
+def test_jaccard_one_id_several_texts(docs):
+    """Rows of one id with unlike texts are documents of their own; none is lost, whatever the other is linked with."""
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(60))
+    df = docs([(5, words(1), "en", "a"), (5, words(2), "en", "a"), (3, words(2) + " end", "en", "a"), (5, words(1), "en", "a"), (7, words(3), "en", None)])
+    df = df.withColumnRenamed("size", "text_key")
+    got = sorted((r.doc_id, r.text) for r in jaccard.filter_documents(df).collect())
+    assert got == [(3, words(2) + " end"), (5, words(1)), (7, words(3))]
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.join(df).collect()) == [(3, 3), (5, 3), (5, 5), (5, 5), (7, 7)]
+
+
+def test_jaccard_repeated_rows_do_not_meet(docs, spark):
+    """20000 equal rows under one id: one class, no task holds their texts together."""
+    df = spark.range(20_000).selectExpr("7L as doc_id", "'a b c d e f g' as text").unionByName(spark.createDataFrame([(8, "a b c d e f g h i j k l m n")], "doc_id long, text string"))
+    rows = jaccard.join(df).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, rows)) == [(7, 7, 20_000), (8, 8, 1)]
+    assert jaccard.filter_documents(df).count() == 2
+
+
 def test_archives(spark, tmp_path):
     rows = [(i, f"http://h{i}/", ["<a>", "<b>", "", None, f"<p>{i}é</p>" * 50][i % 5]) for i in range(60)] + [(None, None, "<a>"), (7, "again", "<q>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
