@@ -176,13 +176,14 @@ def copies(sized: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame) -> DataFrame:
     """Each row of docs as many times as the mix takes it.
 
-    Rows are written once with a number of their own, by which the copies come back, so rows that are alike in all else don't meet."""
+    Rows are written once with a number of their own, by which the copies come back, so rows that are alike in all else don't
+    meet. The copies grow with the documents and are not broadcast, however few."""
     x, names = own(docs)
     x = cut(x.withColumn("number", F.monotonically_increasing_id()), "mixing-rows")
     taken = copies(sizes(x.withColumnsRenamed({names[c]: c for c in ("doc_id", "source", "text")}), "number"))
     taken = taken.where("copies > 0").select("number", F.col("copies").cast("int"))
     times = F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("times")
-    return x.join(taken, "number").select("*", times).select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return x.join(taken.hint("merge"), "number").select("*", times).select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op8(spark, sf_dir):
