@@ -110,7 +110,7 @@ class Part:
 
     def search(self, i: int, q: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and products of the k best for query i that reach `least`, best first."""
-        turned = self.turn @ q
+        asked, turned = least, self.turn @ q
         low, high = turned.min(), turned.max()
         step = (high - low) / (2**LEVELS - 1) or 1.0
         level = np.clip(np.rint((turned - low) / step), 0, 2**LEVELS - 1).astype(np.uint8)
@@ -127,6 +127,7 @@ class Part:
         rest = np.flatnonzero((estimate + bound >= least - 1e-6 * abs(least)) & other)
         score = np.einsum("nd,d->n", self.x[rest], q)
         top = np.lexsort((self.ids[rest], -score))[:k]
+        top = top[score[top] >= asked]
         return self.ids[rest[top]], score[top]
 
 
