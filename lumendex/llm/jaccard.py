@@ -354,301 +354,6 @@ def texts_of(docs: DataFrame, facts: DataFrame, nodes: DataFrame) -> DataFrame:
     return out
 
 
-_ROWS = 1000
-HOT_KEYS = 1 << 16
-MOST_SUBS = 4096
-
-
-class Rule:
-    """Words in a shingle, and the least similarity as a fraction num / den."""
-
-    def __init__(self, shingle: int, threshold: tuple[int, int]):
-        self.shingle, (self.num, self.den) = shingle, threshold
-        self.edges = [1]
-        while self.edges[-1] < 1 << 40:
-            self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * GROWTH)))
-
-    def size_class(self, n: int) -> int:
-        return int(np.searchsorted(self.edges, n, "right")) - 1
-
-    def most(self, n: int) -> int:
-        """Most elements in which a set of n and one linked with it differ."""
-        return n * (self.den - self.num) // self.num
-
-    def parts(self, c: int) -> int:
-        """Parts for class c: more than its sets can differ in, and room for as many empty parts as chance makes; 0 if only equal sets are alike."""
-        top = self.edges[c + 1] - 1
-        most = self.most(top)
-        if not most:
-            return 0
-        empty = (most + 2) * math.exp(-top / (most + 2))
-        return most + 2 + math.ceil(empty + 3 * math.sqrt(empty))
-
-    def reaches_below(self, n: int, c: int) -> bool:
-        return c > 0 and self.num * n <= self.den * (self.edges[c] - 1)
-
-    def linked(self, a, b, both):
-        return self.den * both >= self.num * (a + b - both)
-
-    def overlap(self, a: int, b: int) -> int:
-        """Least overlap of linked sets of a and b elements."""
-        return -(-self.num * (a + b) // (self.num + self.den))
-
-
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each row."""
-    low = LOWER[data]
-    starts, ends, row = spans(low, offsets)
-    words = hashes(low, starts, ends)
-    n = len(words)
-    with np.errstate(over="ignore"):
-        whole = np.full(max(n - shingle + 1, 0), shingle, U)
-        for k in range(shingle):
-            whole = mix(whole * U(0x9E3779B97F4A7C15) + words[k : n - shingle + 1 + k])
-    first = np.searchsorted(row, np.arange(len(offsets)))
-    out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        if b - a >= shingle:
-            out.append(np.unique(whole[a : b - shingle + 1]))
-        elif b > a:
-            h = np.full(1, b - a, U)
-            with np.errstate(over="ignore"):
-                for w in words[a:b]:
-                    h = mix(h * U(0x9E3779B97F4A7C15) + w)
-            out.append(h)
-        else:
-            out.append(np.zeros(0, U))
-    return out
-
-
-def part_keys(s: np.ndarray, mixed: np.ndarray, c: int, parts: int, most: int) -> tuple[np.ndarray, int]:
-    """The keys of set s as class c deals it, and its number of empty parts."""
-    part = (s % U(parts)).astype(np.int64)
-    o = np.argsort(part, kind="stable")
-    edge = np.searchsorted(part[o], np.arange(parts + 1))
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, U), np.cumsum(mixed[o])])
-        sums = total[edge[1:]] - total[edge[:-1]]
-        keys = mix(sums + mix(np.arange(parts, dtype=U) + (U(c) << U(44))))
-    full = edge[1:] > edge[:-1]
-    empty = int((~full).sum())
-    return keys if empty >= parts - most else keys[full], empty
-
-
-_SIGNED = "doc_id long, text_key long, n long, node long, class int, parts int, below int, e_own int, e_probe int, own array<long>, probe array<long>"
-
-
-def _lists(arrays: list[np.ndarray]) -> pa.Array:
-    edge = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(edge), pa.array(np.concatenate([np.zeros(0, U), *arrays]).astype(np.int64)))
-
-
-def signed(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, text_key, n (elements), node (the class of equal sets), keys under the own size class and that below."""
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i, j, data, offsets in chunks(b.column(2), 1 << 18):
-                rows = []
-                for s in shingle_sets(data, offsets, rule.shingle):
-                    own = probe = np.zeros(0, U)
-                    c = parts = below = e_own = e_probe = 0
-                    mixed = mix(s ^ U(0x5851F42D4C957F2D))
-                    if len(s):
-                        c, most = rule.size_class(len(s)), rule.most(len(s))
-                        if parts := rule.parts(c):
-                            own, e_own = part_keys(s, mixed, c, parts, most)
-                        if rule.reaches_below(len(s), c) and (below := rule.parts(c - 1)):
-                            probe, e_probe = part_keys(s, mixed, c - 1, below, most)
-                    with np.errstate(over="ignore"):
-                        rows.append((len(s), mixed.sum(dtype=U), np.bitwise_xor.reduce(mix(mixed)), c, parts, below, e_own, e_probe, own, probe))
-                n, fp1, fp2, *small, own, probe = zip(*rows)
-                n, fp1, fp2 = (np.array(x, U) for x in (n, fp1, fp2))
-                with np.errstate(over="ignore"):
-                    node = mix(fp1 ^ mix(fp2 + n * U(0x9E3779B97F4A7C15))).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0)[i:j], b.column(1)[i:j], pa.array(n.astype(np.int64)), pa.array(node), *(pa.array(x, pa.int32()) for x in small), _lists(own), _lists(probe)],
-                    [c.split()[0] for c in _SIGNED.split(", ")],
-                )
-
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(f, _SIGNED)
-
-
-_PACKED = "bucket int, known boolean, keys binary, nodes binary, flags binary"
-_OWN, _SEVERAL = 1, 2
-
-
-def _packed(rows: list[tuple[int, bool, np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    bucket, known, *arrays = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(known), *(pa.array([x.tobytes() for x in a], pa.binary()) for a in arrays)], [c.split()[0] for c in _PACKED.split(", ")])
-
-
-def _block(batches: list[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """The keys of a block of documents: one row of each bucket with each key once, and the rest of the keys that meet here."""
-    node = np.concatenate([b.column(0).to_numpy() for b in batches])
-    lens = [np.concatenate([pc.list_value_length(b.column(c)).to_numpy(zero_copy_only=False) for b in batches]) for c in (1, 2)]
-    key = np.concatenate([b.column(c).flatten().to_numpy().view(U) for c in (1, 2) for b in batches])
-    of = np.concatenate([np.repeat(np.arange(len(node)), n) for n in lens])
-    flag = np.zeros(len(key), np.uint8)
-    flag[: lens[0].sum()] = _OWN
-    first = np.zeros(len(node), bool)
-    first[np.unique(node, return_index=True)[1]] = True  # copies say nothing new
-    key, of, flag = key[first[of]], of[first[of]], flag[first[of]]
-    if not len(key):
-        return
-    o = np.argsort(key, kind="stable")
-    key, of, flag = key[o], of[o], flag[o]
-    head = np.concatenate([[True], key[1:] != key[:-1]])
-    at = np.flatnonzero(head)
-    flag[at[np.diff(np.append(at, len(key))) > 1]] |= _SEVERAL
-    bucket = (key[at] % U(buckets)).astype(np.int64)
-    o = np.lexsort((of[at], bucket))  # a document's keys side by side: its node then costs next to nothing
-    at, bucket = at[o], bucket[o]
-    edge = np.searchsorted(bucket, np.arange(buckets + 1))
-    rows = [(k, False, key[at[a:z]], node[of[at[a:z]]], flag[at[a:z]]) for k, (a, z) in enumerate(zip(edge, edge[1:])) if z > a]
-    more = np.flatnonzero(~head)
-    if len(more):
-        rows.append((int(key[0] % U(buckets)), True, key[more], node[of[more]], flag[more]))
-    yield _packed(rows)
-
-
-def meetings(marks: DataFrame) -> DataFrame:
-    """key, node, own: the keys under which several classes are listed, with each of them (own: by its own size class)."""
-    marks = marks.where("n > 0 and doc_id is not null").select("node", "own", "probe")
-    keys = marks.agg(F.sum(F.size("own") + F.size("probe"))).first()[0] or 0
-    buckets = max(1, -(-keys // BUCKET))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
-        for b in batches:
-            held.append(b)
-            n += len(b.column(1).flatten()) + len(b.column(2).flatten())
-            if n >= BLOCK:
-                yield from _block(held, buckets)
-                held, n = [], 0
-                trim()
-        if n:
-            yield from _block(held, buckets)
-            trim()
-
-    def out(key: np.ndarray, node: np.ndarray, flag: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(key), 1 << 16):
-            z = a + (1 << 16)
-            yield pa.RecordBatch.from_arrays([pa.array(key[a:z].view(np.int64)), pa.array(node[a:z]), pa.array((flag[a:z] & _OWN).astype(bool))], ["key", "node", "own"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for b in batches:
-            for known, *arrays in zip(*(b.column(c).to_pylist() for c in range(1, 5))):
-                arrays = [np.frombuffer(x, t) for x, t in zip(arrays, (U, np.int64, np.uint8))]
-                if known:
-                    yield from out(*arrays)
-                else:
-                    held.append(arrays)
-        if not held:
-            return
-        key, node, flag = (np.concatenate(x) for x in zip(*held))
-        del held
-        o = np.argsort(key, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], key[o][1:] != key[o][:-1]]))
-        lens = np.diff(np.append(at, len(key)))
-        some = np.repeat((lens > 1) | (np.bitwise_or.reduceat(flag[o], at) >= _SEVERAL), lens)
-        key, node, flag = key[o[some]], node[o[some]], flag[o[some]]
-        if not len(key):
-            return
-        o = np.lexsort((node, key))
-        key, node, flag = key[o], node[o], flag[o]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        meets = (np.add.reduceat(new.astype(np.int64), at) > 1) | (np.bitwise_or.reduceat(flag, at) >= _SEVERAL)
-        new &= np.repeat(meets, np.diff(np.append(at, len(key))))
-        key, node, flag = key[new], node[new], flag[new]
-        del o, new, at, meets, some, lens
-        yield from out(key, node, flag)
-        trim()
-
-    return marks.mapInArrow(deal, _PACKED).repartitionById(buckets, "bucket").mapInArrow(meet, "key long, node long, own boolean").distinct()
-
-
-def _hot(x: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
-    """__hot, __subs: the keys with most rows of x, at most HOT_KEYS, and over how many tasks each is dealt."""
-    hot = x.groupBy(key).agg(F.count("*").alias("__rows")).where(F.col("__rows") > rows).orderBy(F.desc("__rows"), key).limit(HOT_KEYS)
-    return F.broadcast(hot.select(F.col(key).alias("__hot"), F.least(F.ceil(F.col("__rows") / rows), F.lit(MOST_SUBS)).alias("__subs")))
-
-
-def _dealt(x: DataFrame, hot: DataFrame, key: str, *by: str) -> DataFrame:
-    """x with sub: 0, or for a hot key a number that depends on `by`."""
-    part = F.pmod(F.xxhash64(*by) if by else F.monotonically_increasing_id(), F.coalesce("__subs", F.lit(1)))
-    return x.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("sub", part.cast("long")).drop("__hot", "__subs")
-
-
-def _repeated(x: DataFrame, hot: DataFrame, key: str) -> DataFrame:
-    """x with sub: a row for each number that _dealt gives its key."""
-    subs = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("__subs", F.lit(1)).cast("long") - 1))
-    return x.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("sub", subs).drop("__hot", "__subs")
-
-
-def spread(left: DataFrame, right: DataFrame, key: str, *by: str) -> DataFrame:
-    """left joined with right on key. No key's rows of left meet in one task: those of keys in more than HOT_ROWS rows are
-    dealt by a hash of `by` (none: by their places), and right's rows of these keys are repeated. The HOT_KEYS commonest are dealt;
-    any other key has less than one row in HOT_KEYS of all."""
-    hot = _hot(left, key)
-    return _dealt(left, hot, key, *by).join(_repeated(right, hot, key), [key, "sub"]).drop("sub")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp: the smallest node reachable over edges (u, v), of the nodes that have edges.
-
-    Large-star and small-star steps in turn: each node's neighbours are linked to the smallest node next to it, until
-    nothing changes; every component is then a star around its smallest node."""
-    e = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    sum_ = lambda x: tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-    now = sum_(e)
-    while True:
-        # of few edges none can make a hub, so they are not counted by node
-        wide = (lambda x, y, key: spread(x, y, key, "v")) if now[0] > HOT_ROWS else (lambda x, y, key: x.join(y, key))
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = cut(wide(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = wide(large, low, "u").select("v", "m").where("v != m").unionByName(low.select(F.col("u").alias("v"), "m"))
-        old, e = e, cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        drop(old, large)
-        before, now = now, sum_(e)
-        if before == now:
-            break
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
-
-
-def _bit(c: Column | str) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
-
-
-def texts_of(docs: DataFrame, facts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of the classes of nodes (node), a row for each task that held such a row.
-
-    A bitmap of fixed size keeps most other texts out of the shuffle."""
-    ids = cut(facts.join(nodes.distinct(), "node", "left_semi").select("node", "doc_id", "text_key"), "texts-ids")
-    words = ids.select(_bit("doc_id").alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(FILTER_WORDS, np.int64)
-    bitmap[words.column(0).to_numpy()] = words.column(1).to_numpy()
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap)  # 2 MB, whatever the corpus
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
-            keep = sent.value[at // 64].view(U) >> (at % 64).astype(U) & U(1)
-            yield b.filter(pa.array(keep.astype(bool))).select([0, 1, 2])
-
-    near = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text", _bit("doc_id").alias("b")).where("doc_id is not null")
-    near = near.mapInArrow(f, "doc_id long, text_key long, text string")
-    # equal rows are one before the join: partial groups in each task, and the join needs no other shuffle
-    near = near.groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
-    out = cut(near.join(ids, ["doc_id", "text_key"]).select("node", "text"), "texts")
-    drop(ids)
-    return out
-
-
 _ROWS = "g long, sub long, role int, node long, comp long, text string"
 
 
@@ -763,67 +468,6 @@ def _led(listed: DataFrame) -> DataFrame:
     return x.where("leader is not null and least != most").select("key", "leader", "rows")
 
 
-def links(self, doc: int, comp: int, s: np.ndarray, rule: Rule) -> np.ndarray:
-        """Members of other components that s is linked with, one a component."""
-        fit = (rule.den * self.sizes >= rule.num * len(s)) & (rule.num * self.sizes <= rule.den * len(s)) & (self.comps != comp) & (self.ids != doc)
-        if not fit.any():
-            return self.ids[:0]
-        at = np.minimum(np.searchsorted(self.union, s), len(self.union) - 1)
-        at = at[self.union[at] == s]
-        if len(at) < rule.overlap(len(s), int(self.sizes[fit].min())):  # the bound: the group stays closed
-            return []
-        lens = self.first[at + 1] - self.first[at]
-        spots = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-        both = np.bincount(self.owner[spots], minlength=len(self.ids))
-        ok = np.flatnonzero(fit & rule.linked(self.sizes, len(s), both)).tolist()
-        return [int(self.ids[k]) for k in ok if joined.join(comp, int(self.comps[k]))]
-
-
-def verify(rows: DataFrame, rule: Rule) -> DataFrame:
-    """u, v: links of the queries (role 1) of each (g, sub) with its group's members (role 0).
-
-    Links that join nothing new in their task are left out, so there are fewer than rows; a query whose group is all of its own component is not compared."""
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = rows.repartition(parts, "g", "sub").sortWithinPartitions("g", "sub", "role")
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, held, joined = None, None, [], Joined()
-        for key, role, b in _runs(batches):
-            if key != at:
-                at, group, held = key, None, []
-            ids, comps = b.column(3).to_pylist(), b.column(4).to_pylist()
-            u, v = [], []
-            for i, j, data, offsets in chunks(b.column(5)):
-                for d, c, s in zip(ids[i:j], comps[i:j], shingle_sets(data, offsets, rule.shingle)):
-                    if not len(s):
-                        continue
-                    if role == 0:
-                        held.append((d, c, s))
-                        continue
-                    if group is None and held:
-                        group = Group(*map(list, zip(*held)))
-                    if group is not None:
-                        new = group.links(d, c, s, rule, joined)
-                        u += [d] * len(new)
-                        v += new
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-    return x.mapInArrow(f, "u long, v long")
-
-
-def _laid_out(texts: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
-    """Rows for verify() from (g, sub, node, comp)."""
-    a = members.withColumn("role", F.lit(0)).unionByName(queries.withColumn("role", F.lit(1)))
-    return a.join(texts, "node").select(*[c.split()[0] for c in _ROWS.split(", ")])
-
-
-def _led(listed: DataFrame) -> DataFrame:
-    """key, leader, rows of the keys under which a set of the key's class meets another."""
-    x = listed.groupBy("key").agg(F.min(F.when(F.col("own"), F.col("node"))).alias("leader"), F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("rows"))
-    return x.where("leader is not null and least != most").select("key", "leader", "rows")
-
-
 def links(docs: DataFrame, marks: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
     """u, v: links between classes that connect whatever is connected."""
     num, den = rule.num, rule.den
