@@ -13,7 +13,7 @@
    for several classes is known to meet there. Sets that meet others under too few keys to be linked with any are out.
 3. Under each key the node that meets most others, under all its keys together, leads; every node is compared with those of its leaders with which it shares as
    many keys as their sizes call for, not with each other. The links that hold give components.
-4. Similar nodes make groups: those that share their first leader, in chunks of about ELEMENTS tokens, a component at a
+4. Similar nodes make groups: those whose leaders are led by the same one (the first in order), in chunks of about ELEMENTS tokens, a component at a
    time. A group is stored with the union of its members' tokens. A node that met nodes of other components, under as many
    keys of theirs together as a link calls for, is a query to the groups of those nodes' leaders: the tokens that it
    shares with the union bound what it shares with any member, and only groups whose bound reaches the overlap that the
@@ -462,10 +462,10 @@ def _laid_out(texts: DataFrame, members: DataFrame, queries: DataFrame) -> DataF
 
 
 def _led(listed: DataFrame) -> DataFrame:
-    """key, leader, rows of the keys under which a set of the key's class meets another. The first in order leads."""
+    """key, leader, rank (the leader's order) of the keys under which a set of the key's class meets another. The first in order leads."""
     own = F.col("own")
-    x = listed.groupBy("key").agg(F.min_by(F.when(own, F.col("node")), F.when(own, F.col("order"))).alias("leader"), F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("rows"))
-    return x.where("leader is not null and least != most").select("key", "leader", "rows")
+    x = listed.groupBy("key").agg(F.min_by(F.when(own, F.col("node")), F.when(own, F.col("order"))).alias("leader"), F.min(F.when(own, F.col("order"))).alias("rank"), F.min("node").alias("least"), F.max("node").alias("most"))
+    return x.where("leader is not null and least != most").select("key", "leader", "rank")
 
 
 def links(docs: DataFrame, marks: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
@@ -505,14 +505,15 @@ def links(docs: DataFrame, marks: DataFrame, facts: DataFrame, rule: Rule) -> Da
     # nodes that met other components, as queries to groups
     comp = components(first)
     comp = cut(met.select("node").distinct().join(comp, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")), "comp-of")
-    more = cut(met.select("key", "node", "own", "leader").join(comp, "node"), "met-some")
+    more = cut(met.select("key", "node", "own", "leader", "rank").join(comp, "node"), "met-some")
     drop(met)
     more_led = cut(spread(more, comp.select(F.col("node").alias("leader"), F.col("comp").alias("lead_comp")), "leader", "key", "node"), "met-comps")
     drop(more, comp)
     mixed = more_led.where("comp != lead_comp").select("key").distinct()
     at = cut(spread(more_led, mixed, "key", "node"), "met-mixed")
     drop(more_led)
-    family = at.groupBy("node", "comp").agg(F.min("leader").alias("family")).join(facts.select("node", "n"), "node")
+    # of a node's leaders the first in order names its family, so one that leads a few keys of a family doesn't split it
+    family = at.groupBy("node", "comp").agg(F.min_by("leader", F.struct("rank", "leader")).alias("family")).join(facts.select("node", "n"), "node")
     family = cut(family.withColumn("fc", F.xxhash64("family", "comp")), "families")
     sizes = cut(family.groupBy("fc", "family", "comp").agg(F.sum("n").alias("size")), "family-sizes")
     small = sizes.groupBy("family").agg(F.sum(F.when(F.col("size") <= ELEMENTS, F.col("size"))).alias("small"))

@@ -1,6 +1,7 @@
 """Each name of a module is defined once: a later definition would silently stand for an earlier one."""
 
 import ast
+import random
 from collections import Counter
 from pathlib import Path
 
@@ -32,3 +33,27 @@ def test_equal_rows_leave_a_task_once(spark):
     facts = marks.select("node", "doc_id", "text_key").distinct()
     got = jaccard.texts_of(docs, facts, facts.select("node")).select("text").collect()
     assert sorted(r.text for r in got) == ["a b", "c d"]
+
+
+def test_a_family_is_not_split_by_its_keys_leaders(spark, docs, monkeypatch):
+    """Copies of a text with few to many words changed: under a key they ask about a family or a few, not about one for each leader."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = [(0, " ".join(base), "en", "a")]
+    for i in range(1, 400):
+        words = base[:]
+        for _ in range(rng.randrange(2, 9)):
+            words[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words), "en", "a"))
+    made, spread = [], jaccard.spread
+
+    def counted(left, right, key, *by):
+        out = spread(left, right, key, *by)
+        if key == "key" and "family" in right.columns:
+            made.append((left.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "spread", counted)
+    assert jaccard.join(docs(rows)).count() == 400
+    (asked, met), = made
+    assert asked > 1000 and met <= 4 * asked
