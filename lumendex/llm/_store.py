@@ -1,4 +1,7 @@
-"""Tables written once to the folder that driver and executors share."""
+"""Tables written once to the folder that driver and executors share.
+
+A table stays while a DataFrame can read it. One that was not dropped by hand goes when a later table is written, once the
+JVM has collected every plan over it (an RDD alone, taken from a DataFrame that is gone, does not hold a table)."""
 
 from __future__ import annotations
 
@@ -8,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_HELD: dict[str, object] = {}  # the JVM's weak reference to the list of files of each table's path; every plan over a table shares it
 BATCH_ROWS = 1000
 FILE_BYTES = 32 << 20
 _ADVISORY = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
@@ -42,6 +46,7 @@ def cut(df: DataFrame, name: str, narrow: bool = False, few: bool = False) -> Da
     While it is written, Python gets rows in small batches, small partitions are joined to fewer files, and what the
     write shuffled goes when it is done: later jobs read the table."""
     spark = df.sparkSession
+    sweep(spark)
     path = new_path(spark, name)
     rows = int(spark.conf.get(_BATCH, "10000"))
     bytes_ = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
@@ -60,6 +65,8 @@ def cut(df: DataFrame, name: str, narrow: bool = False, few: bool = False) -> Da
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
+    files = out._jdf.queryExecution().analyzed().relation().location()
+    _HELD[path] = spark.sparkContext._jvm.java.lang.ref.WeakReference(files)
     return out
 
 
@@ -76,10 +83,18 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Delete the tables of cut() that no plan can read any more: what a query's or a stage's result was read from."""
+    for path in [p for p, files in _HELD.items() if files.refersTo(None)]:
+        del _HELD[path]
+        delete(spark, path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables of cut() whose readers have all been written; other DataFrames are left alone."""
     for df in tables:
         if path := df.__dict__.pop("_cut_path", None):
+            _HELD.pop(path, None)
             delete(df.sparkSession, path)
 
 

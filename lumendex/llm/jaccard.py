@@ -26,7 +26,8 @@ hub, group or class lands in one task, whatever its share.
 So every link between different components is found, and none that is implied by others need be: work within a large
 family of near copies grows with its size, not with its square, but for documents that are like a family and linked
 to none of it, which meet its groups. No candidate is dropped or capped. (That last case is a product: documents that
-share a key with a family and are linked to none of it, times the family's groups.)
+share a key with a family and are linked to none of it, times the family's groups. Its texts are shuffled in rounds, so
+it takes time but not more disk; the keys of all documents are dropped once it is known which of them meet.)
 
 Defined results: a null or empty text has no shingles and is linked with nothing, its component is its own id; a text
 of fewer words than a shingle is one shingle; texts of any length are taken whole, one of more than 512 KB by itself;
@@ -57,6 +58,7 @@ QUERIES = 2048
 FILTER_WORDS = 1 << 18
 BLOCK = 1 << 18
 BUCKET = 1 << 19
+ROUND = 1 << 30
 HOT_ROWS = 1000
 HOT_KEYS = 1 << 16
 MOST_SUBS = 4096
@@ -216,7 +218,7 @@ def _block(batches: list[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBat
 
 
 def meetings(marks: DataFrame) -> DataFrame:
-    """key, node, own: the keys under which several classes are listed, with each of them (own: by its own size class)."""
+    """key, node, own: the keys under which several classes are listed, with each of them (own: by its own size class). Some rows come several times."""
     marks = marks.where("n > 0 and doc_id is not null").select("node", "own", "probe")
     keys = marks.agg(F.sum(F.size("own") + F.size("probe"))).first()[0] or 0
     buckets = max(1, -(-keys // BUCKET))
@@ -270,7 +272,7 @@ def meetings(marks: DataFrame) -> DataFrame:
         yield from out(key, node, flag)
         trim()
 
-    return marks.mapInArrow(deal, _PACKED).repartitionById(buckets, "bucket").mapInArrow(meet, "key long, node long, own boolean").distinct()
+    return marks.mapInArrow(deal, _PACKED).repartitionById(buckets, "bucket").mapInArrow(meet, "key long, node long, own boolean")
 
 
 def _hot(x: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
@@ -455,10 +457,32 @@ def verify(rows: DataFrame, rule: Rule) -> DataFrame:
     return x.mapInArrow(f, "u long, v long")
 
 
-def _laid_out(texts: DataFrame, members: DataFrame, queries: DataFrame) -> DataFrame:
-    """Rows for verify() from (g, sub, node, comp)."""
-    a = members.withColumn("role", F.lit(0)).unionByName(queries.withColumn("role", F.lit(1)))
-    return a.join(texts, "node").select(*[c.split()[0] for c in _ROWS.split(", ")])
+def _laid_out(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows for verify() from (g, sub, node, comp, role)."""
+    return rows.join(texts, "node").select(*[c.split()[0] for c in _ROWS.split(", ")])
+
+
+def verified(texts: DataFrame, members: DataFrame, queries: DataFrame, rule: Rule) -> DataFrame:
+    """verify() of rows (g, sub, node, comp), written.
+
+    A text goes to every group that it is compared with: a product, which may be far longer than all texts. So groups are
+    dealt to rounds, whose shuffles go one after the other: of ROUND bytes of text, or as many as the texts have if that is more."""
+    bytes_ = cut(texts.select("node", F.octet_length("text").cast("long").alias("bytes")), "texts-bytes")
+    rows = cut(members.withColumn("role", F.lit(0)).unionByName(queries.withColumn("role", F.lit(1))), "rows")
+    sum_ = lambda x: x.agg(F.sum("bytes")).first()[0] or 0
+    rounds = max(1, -(-sum_(rows.join(bytes_, "node")) // max(ROUND, sum_(bytes_))))
+    done = []
+    for k in range(rounds):
+        one = rows.where(F.pmod(F.xxhash64(F.lit(rounds), "g", "sub"), F.lit(rounds)) == k) if rounds > 1 else rows
+        done.append(cut(verify(_laid_out(texts, one), rule), "links"))
+    out = done[0]
+    if rounds > 1:
+        for d in done[1:]:
+            out = out.unionByName(d)
+        out = cut(out, "links")
+        drop(*done)
+    drop(rows, bytes_)
+    return out
 
 
 def _led(listed: DataFrame) -> DataFrame:
@@ -468,10 +492,11 @@ def _led(listed: DataFrame) -> DataFrame:
     return x.where("leader is not null and least != most").select("key", "leader", "rank")
 
 
-def links(docs: DataFrame, marks: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
-    """u, v: links between classes that connect whatever is connected."""
+def links(docs: DataFrame, met: DataFrame, facts: DataFrame, rule: Rule) -> DataFrame:
+    """u, v: links between classes that connect whatever is connected. met (of meetings()) is dropped."""
     num, den = rule.num, rule.den
-    all_met = cut(meetings(marks), "met-all")
+    all_met = cut(met.distinct(), "met-all")
+    drop(met)
     # a set that is linked shares as many keys as it has parts, less those that may differ and those that are empty
     least = f"k >= if(own, parts, below) - n * {den - num} div {num} - if(own, e_own, e_probe)"
     enough = all_met.groupBy("node", "own").agg(F.count("*").alias("k")).join(facts, "node").where(least)
@@ -499,7 +524,7 @@ def links(docs: DataFrame, marks: DataFrame, facts: DataFrame, rule: Rule) -> Da
     hot = _hot(stars, "leader", MEMBERS)
     asked = _dealt(stars, hot, "leader", "node").select(F.col("leader").alias("g"), "sub", "node", F.col("node").alias("comp"))
     leads = _repeated(stars.select("leader").distinct(), hot, "leader").select(F.col("leader").alias("g"), "sub", F.col("leader").alias("node"), F.col("leader").alias("comp"))
-    first = cut(verify(_laid_out(texts, leads, asked), rule), "links")
+    first = verified(texts, leads, asked, rule)
     drop(stars, texts)
 
     # nodes that met other components, as queries to groups
@@ -536,9 +561,9 @@ def links(docs: DataFrame, marks: DataFrame, facts: DataFrame, rule: Rule) -> Da
     members = cut(_repeated(grouped.select("g", "node", "comp").join(units.select("g").distinct(), "g", "left_semi"), hot, "g").select("g", "sub", "node", "comp"), "members")
     drop(grouped)
     texts = texts_of(docs, facts, units.select("node").unionByName(members.select("node")))
-    second = verify(_laid_out(texts, members, _dealt(units, hot, "g", "node").select("g", "sub", "node", "comp")), rule)
+    second = verified(texts, members, _dealt(units, hot, "g", "node").select("g", "sub", "node", "comp"), rule)
     both = cut(first.unionByName(second), "all-links")
-    drop(first, units, members, texts)
+    drop(first, second, units, members, texts)
     return both
 
 
@@ -548,7 +573,10 @@ def _classes(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     facts = marks.where("n > 0 and doc_id is not null").groupBy("node")
     same = [F.first(c).alias(c) for c in ("n", "class", "parts", "below", "e_own", "e_probe")]
     facts = cut(facts.agg(F.min("doc_id").alias("doc_id"), F.min_by("text_key", F.struct("doc_id", "text_key")).alias("text_key"), *same), "facts")
-    found = links(docs, marks, facts, rule)
+    met, keyed = cut(meetings(marks), "met"), marks
+    marks = cut(keyed.select("doc_id", "text_key", "n", "node"), "marks-few")
+    drop(keyed)  # the keys, most of a document's marks
+    found = links(docs, met, facts, rule)
     count = found.select(F.col("u").alias("node")).unionByName(found.select(F.col("v").alias("node"))).groupBy("node").agg(F.count("*").alias("links"))
     x = facts.select("node", "doc_id", "text_key").join(components(found), "node", "left").join(count, "node", "left")
     x = cut(x.select("node", "doc_id", "text_key", F.coalesce("comp", "node").alias("comp"), F.coalesce("links", F.lit(0)).alias("links")), "classes")
