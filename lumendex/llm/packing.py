@@ -20,6 +20,7 @@ gives an empty result.
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from array import array
@@ -57,6 +58,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and words are short work for threads
         with open(path, encoding="utf-8") as f:
             parts = json.load(f)
         self.library = Tokenizer.from_file(path)
@@ -69,16 +71,25 @@ class Encoder:
         return [array("I", e.ids).tobytes() for e in self.words.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text. Words not met before go to the library, those of all texts in one call."""
+        """Ids of each text. Words not met before go to the library, those of all texts in one call.
+
+        No word goes beyond a blank, so plain texts are cut at blanks, and what lies between two is cut into words once.
+        What is no word itself is not remembered: words with marks beside them are many more than words."""
         whole = ["<|" in t or not _PLAIN.fullmatch(t) for t in texts]
-        words = [[] if w else _WORDS.findall(t.lower()) for w, t in zip(whole, texts)]
-        distinct = set().union(*words)
+        runs = [[] if w else t.lower().split() for w, t in zip(whole, texts)]
         if len(self.known) > REMEMBER:
             self.known.clear()
-        new = list(distinct.difference(self.known))
-        self.known.update(zip(new, self._ids(new)))
-        get = self.known.__getitem__
-        return [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") if w else np.frombuffer(b"".join(map(get, ws)), "<u4") for w, t, ws in zip(whole, texts, words)]
+        known = self.known
+        cut_ = {r: [r] if r.isalpha() else _WORDS.findall(r) for r in set().union(*runs).difference(known)}
+        new = list(set().union(*cut_.values()).difference(known))
+        known.update(zip(new, self._ids(new)))
+        get = known.__getitem__
+        passing = {r: b"".join(map(get, ws)) for r, ws in cut_.items() if r not in known}
+        known.update(passing)
+        out = [np.array(self.library.encode(t, add_special_tokens=False).ids, "<u4") if w else np.frombuffer(b"".join(map(get, rs)), "<u4") for w, t, rs in zip(whole, texts, runs)]
+        for r in passing:
+            del known[r]
+        return out
 
 
 @lru_cache(2)
