@@ -357,13 +357,13 @@ def now() -> Column:
     return F.unix_timestamp()
 
 
-def filesize(x) -> Column:
+def filesize(x, units: str = "KMGT") -> Column:
+    """A size in the first of the units that leaves less than 1024, or the last, with one decimal at every size."""
     n = integer(x)
     out = F.when(n < 0, "").when(n == 1, "1 byte").when(n < 1024, F.concat(n.cast("string"), F.lit(" bytes")))
-    for k, u in enumerate("KMGT", 1):
-        v = n / float(1024**k)
-        unit = F.concat(F.when(v < 10, F.format_string("%.1f", v)).otherwise(F.floor(v).cast("string")), F.lit(u))
-        out = out.when(n < 1024 ** (k + 1), unit) if u != "T" else out.otherwise(unit)
+    for k, u in enumerate(units, 1):
+        unit = F.format_string(f"%.1f{u}", n / float(1024**k))
+        out = out.when(n < 1024 ** (k + 1), unit) if k < len(units) else out.otherwise(unit)
     return out
 
 

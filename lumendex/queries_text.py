@@ -148,7 +148,7 @@ _NUM = {
     "thispage": (lambda: fn.thispage("p_partkey", F.lit(10)), "p_partkey // 10 + 1"),
     "subdb": (lambda: fn.subdb(fn.add("p_partkey", F.lit(1)), 3), "p_partkey % 3"),
     "subid": (lambda: fn.subid(fn.add("p_partkey", F.lit(1)), 3), "p_partkey // 3 + 1"),
-    "filesize": (lambda: fn.filesize("p_partkey"), "CASE WHEN p_partkey = 1 THEN '1 byte' WHEN p_partkey < 1024 THEN p_partkey || ' bytes' ELSE CAST(round(p_partkey / 1024.0, 1) AS VARCHAR) || 'K' END"),
+    "filesize": (lambda: fn.filesize("p_partkey", "K"), "CASE WHEN p_partkey = 1 THEN '1 byte' WHEN p_partkey < 1024 THEN p_partkey || ' bytes' ELSE CAST(round(p_partkey / 1024.0, 1) AS VARCHAR) || 'K' END"),
     "date": (lambda: fn.date(fn.mul("p_partkey", F.lit(86400))), "strftime(CAST('1970-01-01' AS DATE) + CAST(p_partkey AS INTEGER), '%Y-%m-%d')"),
 }
 _TXT = {
