@@ -9,11 +9,13 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .stem import ALIASES, stem
@@ -40,8 +42,43 @@ def unspaced(c: str) -> bool:
     return n >= 0x0E00 and any(a <= n <= b for a, b in _UNSPACED)
 
 
+# The rule of _by_characters as one expression, for texts whose characters Python's \w and \d tell as the categories do.
+_INFIX, _NUMBER = re.escape("".join(INFIX)), re.escape("".join(sorted(INFIX_NUMBER)))
+_WORDS = re.compile(rf"[A-Z]\.(?:(?:[A-Z]\.)+[A-Z]?|[A-Z])(?!\w)|\w+(?:(?:[{_INFIX}](?=\w)|(?<=\d)[{_NUMBER}](?=\d))\w+)*(?:[+#]{{1,3}}(?![\w+#]))?")
+_ACRONYM = re.compile(r"[A-Z]\.[A-Z.]+")
+_APOSTROPHES = str.maketrans({c: x for c, x in INFIX.items() if c != x})
+_plain: dict[bool, set[str]] = {False: set(), True: set()}
+
+
+def _is_plain(c: str, ngrams: bool) -> bool:
+    return is_wordchar(c) == bool(re.match(r"\w", c)) and c.isdigit() == c.isdecimal() and c not in IGNORED and not (ngrams and unspaced(c))
+
+
+def plain(text: str, ngrams: bool = False) -> bool:
+    """Whether _WORDS finds the text's words."""
+    known = _plain[ngrams]
+    new = set(text) - known
+    if not new:
+        return True
+    good = {c for c in new if _is_plain(c, ngrams)}
+    known |= good
+    return len(good) == len(new)
+
+
+def _written(found: str) -> str:
+    """The term of what _WORDS found."""
+    return (found.replace(".", "") if _ACRONYM.fullmatch(found) else found.translate(_APOSTROPHES)).lower()
+
+
 def tokenize(text: str, ngrams: bool = False) -> Iterator[tuple[str, bool, int]]:
     """(term, whether it takes a position, offset of its first character) of each word of a text, lower-cased."""
+    if plain(text, ngrams):
+        return ((_written(m.group()), True, m.start()) for m in _WORDS.finditer(text))
+    return _by_characters(text, ngrams)
+
+
+def _by_characters(text: str, ngrams: bool = False) -> Iterator[tuple[str, bool, int]]:
+    """tokenize(), for any text."""
     i, n = 0, len(text)
     while i < n:
         if not is_wordchar(text[i]):
@@ -106,47 +143,118 @@ class TermGenerator:
 
     def terms(self, text: str, prefix: str = "", first: int = 0) -> Iterator[tuple[str, int | None]]:
         """(term, position or None)."""
-        pos, stops = first, set(self.stopwords)
-        stemming = ALIASES.get(self.language, self.language) != "none"
+        pos, stops, known = first, set(self.stopwords), {}
         for word, placed, _ in tokenize(text, self.ngrams):
-            if len(word.encode()) > self.max_word:
-                continue
-            if self.stop == "all" and word in stops:
-                pos += placed
+            forms = known.get((word, placed))
+            if forms is None:
+                forms = known[word, placed] = self._forms(word, placed, prefix, stops)
+            if forms is SKIPPED:
                 continue
             pos += placed
-            at = pos if placed else None
-            if self.strategy in ("some", "none", "some_full_pos") or not stemming:
-                yield prefix + word, at
-            if not stemming or self.strategy == "none" or not placed and self.ngrams:
-                continue
-            if self.stop == "stemmed" and word in stops or not self._stemmable(word):
-                continue
-            root = stem(word, self.language)
-            if self.strategy == "some":
-                yield "Z" + prefix + root, None
-            elif self.strategy == "some_full_pos":
-                yield "Z" + prefix + root, at
-            elif self.strategy == "all":
-                yield prefix + root, at
-            else:
-                yield "Z" + prefix + root, at
+            for term, at in forms:
+                yield term, pos if at else None
+
+    def _forms(self, word: str, placed: bool, prefix: str, stops: set[str]) -> list[tuple[str, bool]] | None:
+        """(term, whether it takes the word's position) of a word; SKIPPED: too long, and not counted by positions."""
+        if len(word.encode()) > self.max_word:
+            return SKIPPED
+        if self.stop == "all" and word in stops:
+            return []
+        stemming = ALIASES.get(self.language, self.language) != "none"
+        out = [(prefix + word, placed)] if self.strategy in ("some", "none", "some_full_pos") or not stemming else []
+        if not stemming or self.strategy == "none" or not placed and self.ngrams or self.stop == "stemmed" and word in stops or not self._stemmable(word):
+            return out
+        root = stem(word, self.language)
+        return [*out, (prefix + root if self.strategy == "all" else "Z" + prefix + root, placed and self.strategy != "some")]
 
     @staticmethod
     def _stemmable(word: str) -> bool:
         return word[0].isalpha()
 
     def tokens(self, docs: DataFrame, text: str = "text", prefix: str = "", wdf_inc: int = 1, first: int = 0, positions: bool = True) -> DataFrame:
-        """(did, term, wdf_inc, pos) of docs (did, text)."""
-
-        def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                rows = [(d, t, p) for d, x in zip(b["did"], b["text"]) if x for t, p in self.terms(x, prefix, first)]
-                out = pd.DataFrame(rows, columns=["did", "term", "pos"])
-                out["wdf_inc"], out["pos"] = wdf_inc, out["pos"].astype("Int32") if positions else None
-                yield out[["did", "term", "wdf_inc", "pos"]]
-
-        return docs.select("did", F.col(text).alias("text")).mapInPandas(f, "did long, term string, wdf_inc int, pos int")
+        """(did, term, wdf_inc, pos) of docs (did, text), in frames of some CHUNK rows."""
+
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def made() -> pa.RecordBatch:
+                out = pa.record_batch([pa.array(dids, pa.int64()), pa.array(terms, pa.string()), pa.array([wdf_inc] * len(dids), pa.int32()), pa.array(at, pa.int32())], names=["did", "term", "wdf_inc", "pos"])
+                for x in (dids, terms, at):
+                    x.clear()
+                return out
+
+            dids, terms, at = [], [], []
+            for did, x in _rows(batches):
+                for term, p in self.terms(x, prefix, first):
+                    dids.append(did), terms.append(term), at.append(p if positions else None)
+                    if len(dids) >= CHUNK:
+                        yield made()
+            yield made()
+
+        small_batches(docs.sparkSession)
+        return docs.select(F.col("did").cast("long").alias("did"), F.col(text).alias("text")).mapInArrow(f, "did long, term string, wdf_inc int, pos int")
+
+    def counts(self, docs: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+        """term, n: how often each term occurs in all of docs (text), as tokens() has it. Words are counted before terms are made."""
+
+        def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def made() -> pa.RecordBatch:
+                n = Counter()
+                for found, k in words.items():
+                    for term, _ in self._forms(_written(found), True, prefix, stops) or ():
+                        n[term] += k
+                for (word, placed), k in odd.items():
+                    for term, _ in self._forms(word, placed, prefix, stops) or ():
+                        n[term] += k
+                words.clear(), odd.clear()
+                return pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
+
+            words, odd, stops = Counter(), Counter(), set(self.stopwords)
+            for _, x in _rows(batches):
+                # a long text counts in pieces, cut at blanks, which no word holds
+                for piece in _pieces(x):
+                    if plain(piece, self.ngrams):
+                        words.update(_WORDS.findall(piece))
+                    else:
+                        odd.update((w, placed) for w, placed, _ in _by_characters(piece, self.ngrams))
+                    if len(words) + len(odd) >= CHUNK:
+                        yield made()
+            yield made()
+
+        small_batches(docs.sparkSession)
+        x = docs.select(F.lit(0).cast("long").alias("did"), F.col(text).alias("text")).mapInArrow(f, "term string, n long")
+        return x.groupBy("term").agg(F.sum("n").alias("n"))
+
+
+#: What TermGenerator says of words that are too long.
+SKIPPED = None
+#: Rows of a frame that goes back to Spark; characters of a text that are counted at a time; bytes of a batch that comes from Spark.
+CHUNK, PIECE, BATCH_BYTES = 1 << 16, 1 << 20, 8 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Python gets texts in batches of some BATCH_BYTES for the session, unless it has a smaller limit: texts are long rows."""
+    now = int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_BYTES)))
+    if now > BATCH_BYTES:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
+    """did, text of each row with a text, one by one."""
+    for b in batches:
+        for did, x in zip(b.column(0), b.column(1)):
+            if x := x.as_py():
+                yield did.as_py(), x
+
+
+def _pieces(text: str) -> Iterator[str]:
+    at = 0
+    while len(text) - at > PIECE and (m := _BLANK.search(text, at + PIECE)):
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:] if at else text
+
+
+_BLANK = re.compile(r"[ \n]")
 
 
 # ---- markup
