@@ -116,7 +116,7 @@ class Enquire:
         for i, t in enumerate(self.query.terms()):
             order.setdefault(t, i)
         side = self.catalog.spark.createDataFrame(list(order.items()) or [("", 0)], "term string, pos int")
-        p = self.catalog.postings.where(F.col("term").isin(list(order))).join(F.broadcast(side), "term").join(self.matches.select("did"), "did", "left_semi")
+        p = self.catalog.lists(order).join(F.broadcast(side), "term").join(self.matches.select("did"), "did", "left_semi")
         return p.groupBy("did").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("terms"))
 
     def facet(self, slot: int, top: int | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
@@ -29,20 +29,22 @@ def _osa(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[
         yield pd.Series([osa_distance(a, b, int(k)) for a, b, k in zip(term, word, most)], dtype="int32")
 
 
-def matching(catalog: Catalog, q: Query) -> DataFrame:
-    d = catalog.termstats
+def candidate(t: Column, q: Query) -> Column:
+    """Whether a pattern takes a term, or a misspelling may stand for it."""
     if q.op == "WILDCARD":
         p = q["pattern"]
         if not q["patterns"]:
-            return d.where(F.col("term").startswith(p))
+            return t.startswith(p)
         head = fixed_prefix(p)
-        d = d.where(F.col("term").startswith(head)) if head else d.where("term rlike '^[^A-Z]'")
-        return d.where(F.col("term").rlike(like_regex(p)))
+        return (t.startswith(head) if head else t.rlike("^[^A-Z]")) & t.rlike(like_regex(p))
     word, k = q["term"], q["edits"]
-    d = d.where(F.length("term").between(len(word) - k, len(word) + k))
-    d = d.where(F.col("term").startswith(word[: q["fixed"]])) if q["fixed"] else d.where("term rlike '^[^A-Z]'")
-    near = F.levenshtein(F.col("term"), F.lit(word), 2 * k) >= 0  # a swap of neighbours counts two here
-    return d.where(near).where(_osa("term", F.lit(word), F.lit(k)) <= k)
+    near = F.levenshtein(t, F.lit(word), 2 * k) >= 0  # a swap of neighbours counts two here
+    return F.length(t).between(len(word) - k, len(word) + k) & (t.startswith(word[: q["fixed"]]) if q["fixed"] else t.rlike("^[^A-Z]")) & near
+
+
+def matching(catalog: Catalog, q: Query) -> DataFrame:
+    d = catalog.terms_where(lambda t: candidate(t, q))
+    return d if q.op == "WILDCARD" else d.where(_osa("term", F.lit(q["term"]), F.lit(q["edits"])) <= q["edits"])
 
 
 def expand(catalog: Catalog, q: Query) -> DataFrame:

@@ -33,7 +33,7 @@ class Matcher:
     def relevant_numbers(self, terms: list[str]) -> dict[str, int]:
         if not self.R:
             return {}
-        p = self.c.postings.where(F.col("term").isin(terms)).join(self.rset.select("did").distinct(), "did", "left_semi")
+        p = self.c.lists(terms).join(self.rset.select("did").distinct(), "did", "left_semi")
         return {r.term: r.n for r in p.groupBy("term").agg(F.count("*").alias("n")).collect()}
 
     def nothing(self) -> DataFrame:
@@ -97,7 +97,7 @@ class Matcher:
         numbers, rel = self.c.term_numbers(names), self.relevant_numbers(names)
         rows = [(t["term"], i, t["wqf"], *numbers[t["term"]][:2], rel.get(t["term"], 0)) for i, t in enumerate(terms)]
         side = self.c.spark.createDataFrame(rows, "term string, leaf int, q long, n long, c long, r long")
-        x = self.c.postings.where(F.col("term").isin(list(dict.fromkeys(names))))
+        x = self.c.lists(names)
         x = x.join(F.broadcast(side), "term")  # as long as the query
         return x.select("did", "leaf", self.scored(factor).alias("w"), F.lit(1 if factor and self.weight.name != "bool" else 0).alias("subqs"), *keep)
 
@@ -189,7 +189,7 @@ class Matcher:
             if s.op in ("NEAR", "PHRASE"):
                 parts.append(self.positional(s, 0.0).select("did", "wdf"))
             elif s.op in ("WILDCARD", "EDIT_DISTANCE"):
-                parts.append(self.c.postings.join(self.expanded(s).select("term"), "term").select("did", "wdf"))
+                parts.append(self._postings_of(s).join(self.expanded(s).select("term"), "term").select("did", "wdf"))
             elif s.op == "ALL":
                 parts.append(self.c.docstats.select("did", F.col("doclen").alias("wdf")))
             elif s.op != "TERM":
@@ -241,9 +241,15 @@ class Matcher:
 
         return expand(self.c, q)
 
+    def _postings_of(self, q: Query) -> DataFrame:
+        """Postings without positions, of all terms that an expansion takes and few others: no others are shuffled."""
+        from .expand import candidate
+
+        return self.c.counts_where(lambda t: candidate(t, q))
+
     def expansion(self, q: Query, factor: float) -> DataFrame:
         terms = self.expanded(q)
-        x = self.c.postings.join(terms.withColumnsRenamed({"termfreq": "n", "collfreq": "c"}).select("term", "n", "c"), "term")
+        x = self._postings_of(q).join(terms.withColumnsRenamed({"termfreq": "n", "collfreq": "c"}).select("term", "n", "c"), "term")
         if q["combiner"] == "SYNONYM":
             n, c = self.estimate(q)
             return self._weigh_one(x.select("did", "wdf"), n, c, factor)

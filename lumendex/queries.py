@@ -29,12 +29,19 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("did"), "text", "lang", "source", "n_chars")
 
 
+#: Of a corpus of no more bytes the session keeps the postings; of a larger one each pass makes what it needs of the texts.
+KEPT_BYTES = 32 << 20
+
+
 def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
-    """The corpus' catalog; its postings are kept by the session, so that queries on one corpus tokenise it once."""
+    """The corpus' catalog; a small one's postings are kept by the session, so that queries on it tokenise it once."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _OPEN:
-        c = from_text(corpus(spark, sf_dir), {0: F.col("lang"), 1: F.col("source"), 2: F.lpad(F.col("n_chars").cast("string"), 8, "0")})
-        _OPEN[key] = c.with_tables(postings=c.postings.persist())
+        docs = corpus(spark, sf_dir)
+        small = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= KEPT_BYTES
+        docs = docs.repartition(spark.sparkContext.defaultParallelism, "did") if small else docs  # a small table may be one task
+        c = from_text(docs, {0: F.col("lang"), 1: F.col("source"), 2: F.lpad(F.col("n_chars").cast("string"), 8, "0")})
+        _OPEN[key] = c.kept() if small else c
     return _OPEN[key]
 
 
