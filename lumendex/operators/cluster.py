@@ -13,10 +13,12 @@ from ..sources.catalog import Catalog
 
 def points(c: Catalog, dids: DataFrame, stopwords: list[str] = ()) -> DataFrame:
     """did, term, w: (1 + ln f) ln(N / tf), frequencies within dids; terms of one or of all documents carry nothing."""
-    p = c.postings.join(dids.select("did").distinct(), "did", "left_semi").where("wdf > 0")
+    page = dids.select("did").distinct().persist()  # found once; by its rows Spark tells whether it can be broadcast
+    n = page.count()
+    p = c.counts_of(page).where("wdf > 0")
     if stopwords:
         p = p.where(~F.col("term").isin(list(stopwords)))
-    n = dids.select("did").distinct().count()
+    p = p.select("did", "term", "wdf").persist()
     tf = p.groupBy("term").agg(F.count("*").alias("tf")).where((F.col("tf") > 1) & (F.col("tf") < n))
     return p.join(tf, "term").select("did", "term", ((1 + F.log(F.col("wdf").cast("double"))) * F.log(F.lit(float(n)) / F.col("tf"))).alias("w"))
 
