@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import TABLES, Catalog, postings_of
+from .catalog import TABLES, Catalog, with_statistics
 
 
 def _fs(spark: SparkSession, path: str):
@@ -108,7 +108,8 @@ def numbered(docs: DataFrame, order: str, after: int = 0) -> DataFrame:
 def deleted(c: Catalog, dids: DataFrame) -> Catalog:
     """Without the documents of dids (did)."""
     gone = dids.select("did").distinct()
-    return c.with_tables(**{t: getattr(c, t).join(gone, "did", "left_anti") for t in ("documents", "postings", "values")})
+    out = c.with_tables(**{t: getattr(c, t).join(gone, "did", "left_anti") for t in ("documents", "postings", "values")})
+    return out.with_docstats(c.docstats.join(gone, "did", "left_anti"))
 
 
 def deleted_by_term(c: Catalog, term: str) -> Catalog:
@@ -123,7 +124,7 @@ def merged(c: Catalog, new: Catalog) -> Catalog:
     out["spelling"] = out["spelling"].groupBy("word").agg(F.sum("freq").alias("freq"))
     keys = new.metadata.select("key")
     out["metadata"] = old.metadata.join(keys, "key", "left_anti").unionByName(new.metadata).where("value != ''")
-    return c.with_tables(**out)
+    return c.with_tables(**out).with_docstats(old.docstats.unionByName(new.docstats))
 
 
 def replaced_by_term(c: Catalog, docs: DataFrame, term_prefix: str, make, last_did: int) -> Catalog:
@@ -140,11 +141,14 @@ def replaced_by_term(c: Catalog, docs: DataFrame, term_prefix: str, make, last_d
 def edited(c: Catalog, tokens: DataFrame) -> Catalog:
     """Postings (did, term, wdf_inc, pos) added to documents, their statistics made anew for those documents only."""
     touched = tokens.select("did").distinct()
-    p = c.postings.join(touched, "did", "left_semi")
-    old = p.select("did", "term", F.col("wdf").alias("wdf_inc"), F.lit(None).cast("int").alias("pos"))
-    spots = p.select("did", "term", F.lit(0).cast("long").alias("wdf_inc"), F.explode("positions").alias("pos"))
-    new = postings_of(old.unionByName(spots).unionByName(tokens.select("did", "term", F.col("wdf_inc").cast("long").alias("wdf_inc"), "pos")))
-    return c.with_tables(postings=c.postings.join(touched, "did", "left_anti").unionByName(new))
+    old = c.postings_of(touched).select("did", "term", "wdf", "positions")
+    more = tokens.select("did", "term", F.col("wdf_inc").cast("long").alias("wdf"), F.array_compact(F.array(F.col("pos").cast("int"))).alias("positions"))
+    new = old.unionByName(more).repartition("did").groupBy("did", "term").agg(F.sum("wdf").alias("wdf"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+    new = with_statistics(new)
+    out = c.with_tables(postings=c.postings.join(touched, "did", "left_anti").unionByName(new))
+    # a document that has no row here is none of the catalog
+    stats = new.groupBy("did").agg(*[F.first(x).alias(x) for x in ("doclen", "uniq", "wdfmax")]).join(c.documents.select("did"), "did", "left_semi")
+    return out.with_docstats(c.docstats.join(touched, "did", "left_anti").unionByName(stats))
 
 
 def removed_terms(c: Catalog, gone: DataFrame) -> Catalog:
