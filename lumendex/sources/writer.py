@@ -138,16 +138,26 @@ def replaced_by_term(c: Catalog, docs: DataFrame, term_prefix: str, make, last_d
     return merged(deleted(c, gone), make(kept.unionByName(fresh)))
 
 
+#: Of documents' bytes in files, for each task that groups their postings.
+EDITED_BYTES = 8 << 20
+
+
+def _parts(documents: DataFrame) -> int:
+    """Partitions that grow with the documents, so that a task's memory does not: a number given is not joined to fewer by Spark."""
+    least = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(least, size // EDITED_BYTES) if size < 1 << 50 else least  # a size that Spark does not know is taken for more
+
+
 def edited(c: Catalog, tokens: DataFrame) -> Catalog:
     """Postings (did, term, wdf_inc, pos) added to documents, their statistics made anew for those documents only."""
     touched = tokens.select("did").distinct()
     old = c.postings_of(touched).select("did", "term", "wdf", "positions")
     more = tokens.select("did", "term", F.col("wdf_inc").cast("long").alias("wdf"), F.array_compact(F.array(F.col("pos").cast("int"))).alias("positions"))
-    new = old.unionByName(more).repartition("did").groupBy("did", "term").agg(F.sum("wdf").alias("wdf"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
-    new = with_statistics(new)
-    out = c.with_tables(postings=c.postings.join(touched, "did", "left_anti").unionByName(new))
+    new = old.unionByName(more).repartition(_parts(c.documents), "did").groupBy("did", "term").agg(F.sum("wdf").alias("wdf"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+    out = c.with_tables(postings=c.postings.join(touched, "did", "left_anti").unionByName(with_statistics(new)))
     # a document that has no row here is none of the catalog
-    stats = new.groupBy("did").agg(*[F.first(x).alias(x) for x in ("doclen", "uniq", "wdfmax")]).join(c.documents.select("did"), "did", "left_semi")
+    stats = new.groupBy("did").agg(F.sum("wdf").alias("doclen"), F.count("*").alias("uniq"), F.max("wdf").alias("wdfmax")).join(c.documents.select("did"), "did", "left_semi")
     return out.with_docstats(c.docstats.join(touched, "did", "left_anti").unionByName(stats))
 
 

@@ -107,3 +107,9 @@ def test_statistics_of_changes_shuffle_no_positions(both, spark):
     assert "posexplode" not in plan(writer.edited(c, tokens).docstats) and "explode(positions" not in plan(writer.edited(c, tokens).docstats)
     new = cat.from_text(spark.createDataFrame([(3, "p q p")], "did long, text string"))
     assert "explode" not in plan(writer.merged(c, new).docstats)
+
+
+def test_tasks_of_an_edit_grow_in_number(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select((F.col("doc_id") + 1).alias("did"), "text")
+    monkeypatch.setattr(writer, "EDITED_BYTES", 10_000)
+    assert writer._parts(docs) > 4 and writer._parts(spark.createDataFrame([(1, "a")], "did long, text string").union(spark.range(1).selectExpr("id", "'a'"))) >= 4
