@@ -13,7 +13,6 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -285,12 +284,33 @@ def strip_xml(text: str) -> str:
     return _squash(re.sub(r"<[^>]*>", " ", text))
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url and the parts of each page's html."""
+PARTS = ("title", "text", "description", "keywords", "author", "robots")
+#: Characters of pages that are taken apart for one frame.
+PAGES = 4 << 20
 
-    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = pd.DataFrame([html_parts(h or "") for h in b["html"]], columns=["title", "text", "description", "keywords", "author", "robots"])
-            yield pd.concat([b[["page_id", "url"]].reset_index(drop=True), parts], axis=1)
 
-    return pages.select("page_id", "url", "html").mapInPandas(f, "page_id long, url string, title string, text string, description string, keywords string, author string, robots string")
+def extracted(pages: DataFrame, html: bool = False) -> DataFrame:
+    """page_id, url and the parts of each page's html; and the html too."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made() -> pa.RecordBatch:
+            out = pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], names=names) if rows else pa.record_batch([pa.array([], k) for k in kinds], names=names)
+            rows.clear()
+            return out
+
+        rows, size = [], 0
+        for b in batches:
+            for one in zip(*b.columns):
+                page, url, text = (x.as_py() for x in one)
+                parts = html_parts(text or "")
+                rows.append((page, url, *[parts[k] for k in PARTS], *([text] if html else [])))
+                size += len(text or "")
+                if size >= PAGES:
+                    size = 0
+                    yield made()
+        yield made()
+
+    names = ["page_id", "url", *PARTS, *(["html"] if html else [])]
+    kinds = [pa.int64(), *[pa.string()] * (len(names) - 1)]
+    small_batches(pages.sparkSession)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(f, "page_id long, " + ", ".join(f"{x} string" for x in names[1:]))

@@ -70,3 +70,25 @@ def test_texts_come_in_batches_of_bytes(spark):
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) > 0
     TermGenerator().tokens(spark.createDataFrame([(1, "a")], "did long, text string"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= analysis.BATCH_BYTES
+
+
+def test_pages_go_back_in_bounded_frames(spark, monkeypatch):
+    monkeypatch.setattr(analysis, "PAGES", 1000)
+    docs = Docs(spark)
+    analysis.extracted(docs, html=True)
+    pages = [f"<title>T {i}</title><p>{'word ' * 100}</p>" for i in range(50)] + [None]
+    batch = pa.record_batch([pa.array(range(51), pa.int64()), pa.array([f"u{i}" for i in range(51)]), pa.array(pages, pa.string())], names=["page_id", "url", "html"])
+    out = list(docs.f(iter([batch])))
+    assert max(b.num_rows for b in out) <= 3 and sum(b.num_rows for b in out) == 51
+    rows = [r for b in out for r in b.to_pylist()]
+    assert [r["title"] for r in rows] == [f"T {i}" for i in range(50)] + [""] and [r["html"] for r in rows] == pages
+
+
+def test_pages_meet_their_text_without_a_join(spark):
+    from lumendex.sources import ingest
+
+    pages = spark.createDataFrame([(1, "http://h/x", "<title>A b</title><p>c c</p>"), (2, "http://h/y", None)], "page_id long, url string, html string")
+    c = ingest.pages_catalog(pages)
+    assert "Join" not in c.documents._jdf.queryExecution().executedPlan().toString()
+    got = {r.term: (r.termfreq, r.collfreq) for r in c.termstats.collect()}
+    assert got["Sa"] == (1, 5) and got["c"] == (1, 2) and got["Hh"] == (2, 0) and got["Uhttp://h/y"] == (1, 0)
